@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.runtime import drop_table, materialize
+from loreweave.runtime import materialize
 
 #: Bits of a hash, and of the digit that one round refines it by.
 HASH_BITS, DIGIT_BITS = 60, 12
@@ -57,29 +57,14 @@ def by_source(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     return rows.join(side, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
 
-def mix_sources(
-    docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20, keep: tuple[str, ...] = ("doc_id",)
-) -> DataFrame:
-    """How often the mix takes each row of docs(doc_id, source, text).
+def place(seed: int):
+    """A row's place in its source: a hash of its doc_id and text."""
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return F.shiftrightunsigned(key, 64 - HASH_BITS)
 
-    Returns the columns `keep`, source, size (words), source_size, target,
-    copies and taken (copies x size). Sources, by code point and null last, have
-    the repeating weights; together they get share x all words, and none more
-    than most x its own. Every row of a source is taken floor(target / size of
-    the source) times, and the rows of the lowest hashes once more until the
-    target is met: the row at the boundary is taken if that comes nearer.
 
-    The hash depends on doc_id, text and seed alone, so reruns agree; equal rows
-    share their fate. Documents are read once; what is kept of them is one
-    narrow row each. Sums are partial before every shuffle, so a hot source
-    costs no more than others. A null text has size 0, a null source is a
-    source; an empty table gives an empty table; a source of size 0 has target 0.
-    """
-    narrow = docs.select(
-        *keep, "source", word_count().alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 64 - HASH_BITS).alias("place"),
-    )
-    narrow = materialize(narrow, "mix")
+def thresholds(narrow: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, int]:
+    """(of_source, source_size, target, base, prefix, edge_in) for each source of narrow(source, size, place), and their number."""
     sizes = materialize(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "sources")
     n = sizes.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -106,9 +91,48 @@ def mix_sources(
         )
         state = materialize(now, "boundary")
     # the rows of the boundary hash itself go in if the target is nearer with them
-    thresholds = state.select("of_source", "source_size", "target", "base", "prefix", (2 * F.col("budget") >= F.col("edge")).alias("edge_in"))
+    return state.select("of_source", "source_size", "target", "base", "prefix", (2 * F.col("budget") >= F.col("edge")).alias("edge_in")), n
+
+
+def with_copies(rows: DataFrame, found: DataFrame, n_sources: int, most: float) -> DataFrame:
+    """Append copies, source_size and target to rows(source, place, ...)."""
     extra = (F.col("place") < F.col("prefix")) | ((F.col("place") == F.col("prefix")) & F.col("edge_in"))
     # at most x size is never passed: a source that is taken whole `most` times has no budget left
     copies = F.least(F.col("base") + extra.cast("int"), F.lit(int(most)))
-    out = by_source(narrow, thresholds, n).withColumn("copies", copies)
-    return out.select(*keep, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return by_source(rows, found, n_sources).withColumn("copies", copies).drop("base", "prefix", "edge_in")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
+    """How often the mix takes each row of docs(doc_id, source, text).
+
+    Returns doc_id, source, size (words), source_size, target,
+    copies and taken (copies x size). Sources, by code point and null last, have
+    the repeating weights; together they get share x all words, and none more
+    than most x its own. Every row of a source is taken floor(target / size of
+    the source) times, and the rows of the lowest hashes once more until the
+    target is met: the row at the boundary is taken if that comes nearer.
+
+    The hash depends on doc_id, text and seed alone, so reruns agree; equal rows
+    share their fate. Documents are read once; what is kept of them is one
+    narrow row each. Sums are partial before every shuffle, so a hot source
+    costs no more than others. A null text has size 0, a null source is a
+    source; an empty table gives an empty table; a source of size 0 has target 0.
+    """
+    narrow = materialize(docs.select("doc_id", "source", word_count().alias("size"), place(seed).alias("place")), "mix")
+    found, n = thresholds(narrow, weights, share, most)
+    out = with_copies(narrow, found, n, most)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
+    """The rows of docs(doc_id, source, text, ...) as the mix takes them: each as many times as mix_sources() says.
+
+    The thresholds are found on narrow rows and applied where the documents are
+    read, so texts aren't shuffled.
+    """
+    columns = [docs[c] for c in docs.columns]
+    narrow = materialize(docs.select("source", word_count().alias("size"), place(seed).alias("place")), "mix")
+    found, n = thresholds(narrow, weights, share, most)
+    row = F.struct(*columns).alias("row")
+    out = with_copies(docs.select(row, "source", place(seed).alias("place")), found, n, most)
+    return out.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_")).select("row.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import decontamination, mixing, quality_classifier, quality_rules, sharding, token_count, toxicity
+from loreweave.llm import decontamination, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sharding, substring_dedup, token_count, toxicity
 from loreweave.runtime import table
 
 
@@ -31,10 +31,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return token_count.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -54,7 +66,10 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_token_counts": op3_token_counts,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_mixing": op5_mixing,
+        "op6_lm_scoring": op6_lm_scoring,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_toxicity": op8_toxicity,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
