@@ -24,3 +24,10 @@ def knn(rows: DataFrame, query: DataFrame, k: int, id_col: str = "vec_id", vecto
     scored = rows.crossJoin(F.broadcast(query.limit(1))).withColumn("s", cosine(F.col(vector), F.col("q")))
     top = scored.orderBy(F.desc("s"), id_col).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), id_col))).withColumn("similarity", F.round("s", 3))
+
+
+def knn_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k rows most similar to each stated query(query_id, q, ...), itself left out; the queries are few and stated."""
+    scored = rows.join(queries, F.col(id_col) != F.col("query_id")).withColumn("s", cosine(F.col(vector), F.col("q")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), id_col))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("similarity", F.round("s", 3))
