@@ -91,8 +91,10 @@ class FmIndex:
         left, and an interval that matches more than `width` symbols is widened
         to those that agree in `width`.
         """
-        out = [np.zeros(n - self.width + 1, np.int64) for n in self.lengths]
-        lo, hi = np.zeros(len(out), np.int64), np.full(len(out), len(self.text), np.int64)
+        windows = self.lengths - self.width + 1
+        offset = np.cumsum(windows) - windows
+        out = np.zeros(int(windows.sum()), np.int64)
+        lo, hi = np.zeros(len(windows), np.int64), np.full(len(windows), len(self.text), np.int64)
         for step in range(int(self.lengths.max())):
             live = np.flatnonzero(self.lengths > step)
             place = self.lengths[live] - 1 - step
@@ -102,7 +104,6 @@ class FmIndex:
             if step >= self.width - 1:
                 group = self.group_of_row[a]
                 a, b = self.group_begin[group], self.group_end[group]
-                for i, p, v in zip(live.tolist(), place.tolist(), self.group_value[group].tolist(), strict=True):
-                    out[i][p] = v
+                out[offset[live] + place] = self.group_value[group]
             lo[live], hi[live] = a, b
-        return out
+        return np.split(out, offset[1:])

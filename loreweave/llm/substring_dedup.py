@@ -54,7 +54,7 @@ def span_hashes(hashes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np
     return mix((upto[first + length] - upto[first]) * back[first] + length.astype(np.uint64))
 
 
-CUT = "doc_id long, text_hash long, n_words long, whole string, spans array<struct<m:long,r:long,first:int,words:int>>"
+CUT = "doc_id long, text_hash long, n_words long, whole string, m array<long>, r array<long>, first array<int>, words array<int>"
 
 
 def cut_documents(width: int):
@@ -66,13 +66,13 @@ def cut_documents(width: int):
                 words = ascii_words(text)
                 hashes = known.of(words)
                 first, length, least = regions(hashes, width)
-                spans = []
-                if len(first):
-                    r = span_hashes(hashes, first, length)
-                    spans = [{"m": m, "r": r, "first": f, "words": n} for m, r, f, n in zip(least.view(np.int64).tolist(), r.view(np.int64).tolist(), first.tolist(), length.tolist(), strict=True)]
-                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), spans))
-            n, whole, spans = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_words": n, "whole": whole, "spans": spans})
+                r = span_hashes(hashes, first, length) if len(first) else least
+                digest = hashlib.sha256(b" ".join(words)).hexdigest()
+                rows.append((len(words), digest, least.view(np.int64), r.view(np.int64), first.astype(np.int32), length.astype(np.int32)))
+            out = pd.DataFrame(rows, columns=["n_words", "whole", "m", "r", "first", "words"])
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(1, "text_hash", batch["text_hash"].to_numpy())
+            yield out
 
     return run
 
@@ -138,7 +138,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
     cut = materialize(texts.mapInPandas(cut_documents(width), CUT), "cut")
-    spans = cut.filter("doc_id is not null").select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", "s.*")
+    spans = cut.filter("doc_id is not null").select("doc_id", "text_hash", F.explode(F.arrays_zip("m", "r", "first", "words")).alias("s")).select("doc_id", "text_hash", "s.*")
     shared = spans.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("m")
     found = materialize(spans.join(shared, "m"), "found")
     distinct = found.groupBy("m", "r").agg(F.min(F.struct("doc_id", "text_hash", "first", "words")).alias("c"))
