@@ -36,7 +36,7 @@ def token_estimate(text: Column) -> Column:
 
 def sentences(text: Column, longer_than: int = 10) -> Column:
     """Trimmed sentences of more than that many characters."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), lambda s: F.trim(s))
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: F.length(s) > longer_than)
 
 

@@ -21,3 +21,11 @@ def at_k(ranked: DataFrame, k: int) -> DataFrame:
 def summary(scores: DataFrame) -> DataFrame:
     """Means and the number of perfect, partial and zero queries."""
     return scores.agg(F.avg("recall_any").alias("recall_any"), F.avg("ndcg").alias("ndcg"), F.count_if(F.col("ndcg") >= 1).alias("perfect"), F.count_if((F.col("ndcg") > 0) & (F.col("ndcg") < 1)).alias("partial"), F.count_if(F.col("ndcg") == 0).alias("zero"))
+
+
+def token_f1(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """key, f1 of the word lists a and b as multisets; 0 where they share nothing. Rows without any word are left out."""
+    side = lambda c, l, r: pairs.select(*key, F.explode(c).alias("w"), F.lit(l).alias("l"), F.lit(r).alias("r"))
+    counts = side("a", 1, 0).unionByName(side("b", 0, 1)).groupBy(*key, "w").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    sums = counts.groupBy(*key).agg(F.sum(F.least("l", "r")).alias("both"), F.sum(F.col("l") + F.col("r")).alias("all"))
+    return sums.select(*key, F.when(F.col("both") > 0, 2.0 * F.col("both") / F.col("all")).otherwise(F.lit(0.0)).alias("f1"))

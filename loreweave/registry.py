@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loreweave.plans import store_plans, vector_plans
+from loreweave.plans import store_plans, text_plans, vector_plans
 
-_MODULES = (vector_plans, store_plans)
+_MODULES = (vector_plans, store_plans, text_plans)
 
 
 def queries() -> dict:

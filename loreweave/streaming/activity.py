@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need timestamps with a time zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """event_type, window_start, n, total of tumbling windows; rows later than the watermark are left out of streams."""
-    seen = events.withWatermark("ts", late) if events.isStreaming else events
+    seen = _watermarked(events, late) if events.isStreaming else events
     out = seen.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("event_type", F.col("w.start").alias("window_start"), "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """user_id, session_start, n of runs of events less than the gap apart."""
-    seen = events.withWatermark("ts", late) if events.isStreaming else events
+    seen = _watermarked(events, late) if events.isStreaming else events
     out = seen.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("session_start"), "n")
 
@@ -27,7 +32,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 def distinct_events(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Each event_id once; in a stream the state kept is bounded by the watermark."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+        return _watermarked(events, late).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
 
 
