@@ -26,9 +26,9 @@ from loreweave.runtime import drop_table, materialize
 
 #: Blocks that agree and that both sides use, at least.
 MATCHES = 2
-#: Groups of one block value of up to so many sets are compared in full; larger ones by pivots and finer blocks.
-SMALL = 32
-PIVOTS = 8
+#: Groups of one block value of up to so many sets are compared in one round; larger ones by pivots and finer blocks.
+SMALL = 2048
+PIVOTS = 128
 
 
 def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -103,16 +103,19 @@ def full_sets(width: int):
 def may_link(percent: int):
     """Sizes and parity sketches that a linked pair can have, over columns n_a, n_b, sketch_a and sketch_b."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(4)), F.lit(0))
     return (100 * small >= percent * large) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs(a, b) whose sets link, by sketch and then exactly."""
-    brief = nodes.select("node", "n", "sketch")
-    side = lambda t, x, *names: t.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
-    near = pairs.join(side(brief, "a", "n", "sketch"), "a").join(side(brief, "b", "n", "sketch"), "b").filter(may_link(percent)).select("a", "b")
-    both = near.join(side(sets, "a", "items"), "a").join(side(sets, "b", "items"), "b")
+def named(t: DataFrame, x: str, *names: str) -> DataFrame:
+    """The nodes of a table as column x, and its columns `names` with _x after them."""
+    return t.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs(a, b) whose sets link, exactly."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return both.filter(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b")
 
@@ -126,11 +129,12 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     Documents with equal sets form a class and only its smallest id is joined,
     so copies are never paired. Sets with an equal block are first compared with
     the smallest of them. What is then still in different components is compared
-    in full where SMALL sets or fewer share a block, and else with PIVOTS more
-    of them a round; after two such rounds a large group is divided by pairs of
+    with all others where SMALL sets or fewer share a block, and else with some more
+    of them a round (PIVOTS at least); after two such rounds a large group is divided by pairs of
     blocks, of which linked sets share one too. This goes on until every group
-    is done, so no link is lost whatever the sizes, and no step makes all pairs
-    of a large group at once.
+    is done, so no link is lost whatever the sizes, and no step compares all pairs
+    of a large group at once. Sizes and sketches are compared inside the joins,
+    so only pairs that may link become rows.
 
     A null or empty text has 0 shingles and links with nothing; a text below
     `width` words is one shingle; very long texts are read whole; rows that
@@ -147,32 +151,39 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     wanted = groups.select("node").distinct()
     sets = materialize(texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi").mapInPandas(full_sets(width), "node long, items array<long>"), "sets")
 
-    tested = materialize(groups.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    edges = materialize(linked(tested, nodes, sets, percent), "edges")
+    brief = nodes.select("node", "n", "sketch")
+    stars = groups.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(named(brief, "a", "n", "sketch"), "a").join(named(brief, "b", "n", "sketch"), "b").filter(may_link(percent))
+    tested = materialize(stars.select("a", "b"), "pairs")
+    edges = materialize(linked(tested, sets, percent), "edges")
     component = connected_components(edges)
     turn = 0
     while True:
         turn += 1
-        now = groups.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labelled = brief.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = groups.join(labelled, "node")
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("left")).filter("lo < hi")
-        old, open_groups = groups, materialize(now.join(mixed.select("key", "left"), "key").select("key", "node", "component", "left", "level"), "open")
+        old, open_groups = groups, materialize(now.join(mixed.select("key", "left"), "key").select("key", "node", "component", "n", "sketch", "left", "level"), "open")
         drop_table(old)
         if open_groups.isEmpty():
             break
         few, many = open_groups.filter(F.col("left") <= SMALL), open_groups.filter(F.col("left") > SMALL)
         order = F.xxhash64("node", F.lit(turn))
-        # about PIVOTS of each group, by hash, others each round
-        chosen = F.pmod(order, F.floor(F.col("left") / PIVOTS)) == 0
-        pivots = materialize(many.filter(chosen).select("key", F.col("node").alias("p"), F.col("component").alias("pc")), "pivots")
-        other = lambda t: t.select("key", F.col("node").alias("p"), F.col("component").alias("pc"))
-        pairs = few.join(other(few), "key").filter("node < p and component <> pc").unionByName(many.join(pivots, "key").filter("component <> pc"), allowMissingColumns=True)
-        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        # PIVOTS or a sixteenth of each group, by hash, others each round
+        chosen = F.pmod(order, F.greatest(F.least(F.floor(F.col("left") / PIVOTS), F.lit(16)), F.lit(1))) == 0
+        pivots = materialize(many.filter(chosen).select("key", "node", "component", "n", "sketch"), "pivots")
+        fields = ("component", "n", "sketch")
+        apart = (F.col("component_a") != F.col("component_b")) & may_link(percent)
+        inside = named(few, "a", "key", *fields).join(named(few, "b", "key", *fields), (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & apart)
+        around = named(many, "a", "key", *fields).join(named(pivots, "b", "key", *fields), (F.col("key_a") == F.col("key_b")) & apart)
+        pairs = inside.select("a", "b").unionByName(around.select("a", "b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = materialize(tested.unionByName(pairs), "pairs")
-        edges = materialize(edges.unionByName(linked(pairs, nodes, sets, percent)), "edges")
+        edges = materialize(edges.unionByName(linked(pairs, sets, percent)), "edges")
         component = connected_components(edges)
         # a pivot has met every set of its group that it could still be joined to
-        rest = many.join(pivots.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti")
+        rest = many.join(pivots.select("key", "node"), ["key", "node"], "left_anti")
         if turn == 2:
             finer = rest.select("key", "node").join(nodes.select("node", "keys"), "node").select("node", F.col("key").alias("first"), F.explode("keys").alias("second"))
             finer = finer.filter("first <> second").select(F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("key"), "node").distinct()

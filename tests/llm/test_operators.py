@@ -55,6 +55,7 @@ def sets_of(rows, width):
 @pytest.mark.parametrize(("width", "percent", "small"), [(3, 90, 32), (5, 80, 32), (3, 90, 2)])
 def test_jaccard_components(docs, monkeypatch, width, percent, small):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     sets = sets_of(corpus(), width)
     parent = {i: i for i in sets}
 
