@@ -48,6 +48,43 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
+class GramTable:
+    """A value for each gram by open addressing with linear probing; at least half of the slots are free."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(8, (2 * len(grams)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint32)
+        self.values = np.full(1 << self.bits, np.nan)
+        pending, slots = np.arange(len(grams)), self.home(grams)
+        while len(pending):
+            free = np.flatnonzero(np.isnan(self.values[slots]))
+            taken, at = np.unique(slots[free], return_index=True)
+            put = free[at]
+            self.keys[taken], self.values[taken] = grams[pending[put]], values[pending[put]]
+            pending, slots = np.delete(pending, put), (np.delete(slots, put) + 1) & self.mask
+
+    @property
+    def mask(self) -> int:
+        return (1 << self.bits) - 1
+
+    def home(self, grams: np.ndarray) -> np.ndarray:
+        return (grams * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def get(self, grams: np.ndarray) -> np.ndarray:
+        """The value of each gram; NaN where there is none."""
+        slots = self.home(grams)
+        out = self.values[slots]
+        other = np.flatnonzero((self.keys[slots] != grams) & ~np.isnan(out))
+        slots = slots[other]
+        while len(other):
+            slots = (slots + 1) & self.mask
+            got = self.values[slots]
+            out[other] = got
+            on = (self.keys[slots] != grams[other]) & ~np.isnan(got)
+            other, slots = other[on], slots[on]
+        return out
+
+
 class ContextTree:
     """The trained mixture. Nodes of a depth are sorted keys context << 8 | bits so far, led by a 1."""
 
@@ -81,6 +118,7 @@ class ContextTree:
             self.weight.insert(0, weight)
         self.seen = np.sort(grams)
         self.seen_log10 = self.log10(self.seen)
+        self.table: GramTable | None = None  # each worker builds its own, which costs less than sending it
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 P(byte | its context) of each gram; a context that training lacks defers to the shorter one."""
@@ -109,16 +147,17 @@ class ContextTree:
         grams = [text_grams(t) for t in texts]
         starts = np.cumsum([0, *map(len, grams)])[:-1]
         flat = np.concatenate(grams)
-        at = np.minimum(np.searchsorted(self.seen, flat), len(self.seen) - 1)
-        got = self.seen_log10[at]
-        if len(missing := np.flatnonzero(self.seen[at] != flat)):
+        if self.table is None:
+            self.table = GramTable(self.seen, self.seen_log10)
+        got = self.table.get(flat)
+        if len(missing := np.flatnonzero(np.isnan(got))):
             new, back = np.unique(flat[missing], return_inverse=True)
             got[missing] = self.log10(new)[back]
         return np.add.reduceat(got, starts).tolist()
 
 
-def parts(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that have about so many bytes together."""
+def parts(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have about so many characters together."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -135,9 +174,9 @@ def raw(text: str | None) -> bytes:
 
 def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = [raw(t) for t in batch["text"]]
-        for a, b in parts(texts, 16_000_000):
-            grams, n = np.unique(np.concatenate([text_grams(t) for t in texts[a:b]]), return_counts=True)
+        texts = [t or "" for t in batch["text"]]
+        for a, b in parts(texts, 8_000_000):
+            grams, n = np.unique(np.concatenate([text_grams(raw(t)) for t in texts[a:b]]), return_counts=True)
             yield pd.DataFrame({"gram": grams.astype(np.int64), "n": n.astype(np.int64)})
 
 
@@ -153,7 +192,7 @@ def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             counts.update(raw(text).lower().split())
             counts[END_TOKEN.encode()] += 1
-            if len(counts) > 500_000:
+            if len(counts) > 300_000:
                 yield from flush(counts)
                 counts = Counter()
     yield from flush(counts)
@@ -207,9 +246,9 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFram
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, logs = shared.value
         for batch in batches:
-            whole = [raw(t) for t in batch["text"]]
-            for a, b in parts(whole):
-                own = whole[a:b]
+            texts = [t or "" for t in batch["text"]]
+            for a, b in parts(texts):
+                own = [raw(t) for t in texts[a:b]]
                 score = model.text_log10(own) if model else [-(len(t) + 1) * np.log10(256) for t in own]
                 rows = []
                 for t in own:
@@ -218,7 +257,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFram
                     got = [logs.get(w) for w in tokens]
                     known = [x for x in got if x is not None]
                     rest = Counter(w for w, x in zip(tokens, got, strict=True) if x is None) if len(known) < len(got) else {}
-                    rows.append((len(tokens), len(known), float(np.sum(known)) if known else 0.0, [{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in rest.items()]))
+                    rows.append((len(tokens), len(known), float(sum(known)), [{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in rest.items()]))
                 part = batch.iloc[a:b]
                 n_tokens, n_known, base, tail = zip(*rows, strict=True)
                 yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": n_tokens, "head_known": n_known, "head_base": base, "score": score, "tail": tail})
