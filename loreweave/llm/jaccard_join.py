@@ -24,8 +24,8 @@ from loreweave.llm.components import connected_components
 from loreweave.llm.words import WordHashes, mix, window_hashes
 from loreweave.runtime import drop_table, materialize
 
-#: Blocks that agree and that both sides use, at least.
-MATCHES = 2
+#: Blocks that agree and that both sides use, at least; the second figure from WIDE_BAND on, where sets fill enough blocks.
+MATCHES, WIDE_MATCHES, WIDE_BAND = 2, 6, 6
 #: Groups of one block value of up to so many sets are compared in one round; larger ones by pivots and finer blocks.
 SMALL = 2048
 PIVOTS = 128
@@ -60,7 +60,7 @@ def block_keys(items: np.ndarray, percent: int) -> np.ndarray:
             continue
         at = (items >> np.uint64(64 - b)).astype(np.int64)
         count = np.bincount(at, minlength=blocks)
-        used = np.lexsort((np.arange(blocks), count))[-(differ + MATCHES) :]
+        used = np.lexsort((np.arange(blocks), count))[-(differ + (WIDE_MATCHES if b >= WIDE_BAND else MATCHES)) :]
         values = np.zeros(blocks, np.uint64)
         filled = np.flatnonzero(count)
         values[filled] = np.bitwise_xor.reduceat(items, (np.cumsum(count) - count)[filled])
@@ -134,7 +134,8 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     blocks, of which linked sets share one too. This goes on until every group
     is done, so no link is lost whatever the sizes, and no step compares all pairs
     of a large group at once. Sizes and sketches are compared inside the joins,
-    so only pairs that may link become rows.
+    so only pairs that may link become rows, and pairs that agree in fewer blocks
+    than linked sets must are not tested.
 
     A null or empty text has 0 shingles and links with nothing; a text below
     `width` words is one shingle; very long texts are read whole; rows that
@@ -176,6 +177,15 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         apart = (F.col("component_a") != F.col("component_b")) & may_link(percent)
         inside = named(few, "a", "key", *fields).join(named(few, "b", "key", *fields), (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & apart)
         around = named(many, "a", "key", *fields).join(named(pivots, "b", "key", *fields), (F.col("key_a") == F.col("key_b")) & apart)
+        inside = inside.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(F.least("n_a", "n_b")).alias("n"))
+        if turn == 1:
+            # all groups are still whole: a pair that links meets so many times, unless groups not compared in full hold it too
+            wide = many.select("node").distinct()
+            differ = F.floor(F.col("n") * (100 - percent) / percent)
+            least = F.when(1.3 * (differ + MATCHES + 1) > 1 << (WIDE_BAND - 1), WIDE_MATCHES).otherwise(MATCHES)
+            fewer = inside.filter(F.col("times") < least)
+            fewer = fewer.join(named(wide, "a"), "a", "left_semi").join(named(wide, "b"), "b", "left_semi")
+            inside = inside.filter(F.col("times") >= least).select("a", "b").unionByName(fewer.select("a", "b"))
         pairs = inside.select("a", "b").unionByName(around.select("a", "b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
