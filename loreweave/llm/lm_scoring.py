@@ -5,7 +5,9 @@ context of 0 to DEPTH preceding bytes; the Krichevsky-Trofimov estimates of all
 depths are mixed with the weights that the training text gives them. Spark
 counts the byte (DEPTH+1)-grams of the training texts, from which the counters
 of all depths follow by summation, so the trained mixture is a table of sorted
-arrays.
+arrays. The tree is cut by the two bytes before a byte: below depth 2 such parts
+share no node, so each is weighed by itself and only the nodes of depths 0 and
+1, of which there are under 66,000, are put together on the driver.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from loreweave.runtime import materialize
 DEPTH = 3
 #: The byte that ends a text; UTF-8 has none like it.
 END = 0xFF
-#: Grams that the broadcast model holds at most; with more, the depth is lowered by one.
-MAX_GRAMS = 6_000_000
+#: Frequent grams whose values are broadcast at most; the values of the others are joined.
+HEAD_GRAMS = 2_000_000
+#: Parts of the tree are dealt over so many buckets at least, and over more from so many grams a bucket on.
+BUCKETS, BUCKET_GRAMS = 64, 500_000
 #: Frequent words whose counts are broadcast at most; the counts of the others are joined.
 HEAD_WORDS = 200_000
 #: The token that ends a text, which no word is equal to.
@@ -85,40 +89,66 @@ class GramTable:
         return out
 
 
+Levels = tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]
+
+
+def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
+
+
 class ContextTree:
-    """The trained mixture. Nodes of a depth are sorted keys context << 8 | bits so far, led by a 1."""
+    """The trained mixture. Nodes of a depth are sorted keys context << 8 | bits so far, led by a 1.
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> None:
-        self.depth = depth
+    With `upper`, the levels of depths 0 and 1 of all training texts, grams can be
+    those of some parts of the tree; without `whole` only depths from 2 on are built.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, upper: Levels | None = None, whole: bool = True) -> None:
         byte, context = (grams & np.uint32(0xFF)).astype(np.int64), (grams >> np.uint32(8)).astype(np.int64)
         self.keys: list[np.ndarray] = []
         self.p1: list[np.ndarray] = []  # the estimate of a 1 at this depth alone
         self.weight: list[np.ndarray] = []  # of this depth against the deeper ones
         below = None
-        for d in range(depth, -1, -1):
+        for d in range(DEPTH, -1 if whole and upper is None else 1, -1):
             own = context & ((1 << (8 * d)) - 1)
             node = np.concatenate([own << 8 | (1 << k | byte >> (8 - k)) for k in range(8)])
             bit = np.concatenate([byte >> (7 - k) & 1 for k in range(8)])
             keys, at = np.unique(node, return_inverse=True)
             each = np.tile(counts, 8)
-            ones = np.bincount(at, weights=bit * each)
-            zeros = np.bincount(at, weights=(1 - bit) * each)
-            kt = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
-            if below is None:
-                weight, total = np.ones(len(keys)), kt
-            else:
-                deep_keys, deep_total = below
-                parent = (deep_keys >> 8 & ((1 << (8 * d)) - 1)) << 8 | deep_keys & 0xFF
-                children = np.bincount(np.searchsorted(keys, parent), weights=deep_total, minlength=len(keys))
-                total = np.logaddexp(kt, children) - np.log(2)
-                weight = np.exp(kt - np.log(2) - total)
-            below = (keys, total)
-            self.keys.insert(0, keys)
-            self.p1.insert(0, (ones + 0.5) / (zeros + ones + 1))
-            self.weight.insert(0, weight)
-        self.seen = np.sort(grams)
-        self.seen_log10 = self.log10(self.seen)
-        self.table: GramTable | None = None  # each worker builds its own, which costs less than sending it
+            ones = np.bincount(at, weights=bit * each, minlength=len(keys))
+            zeros = np.bincount(at, weights=(1 - bit) * each, minlength=len(keys))
+            below = self.add(d, keys, zeros, ones, below)
+        #: the nodes of the least depth built: keys, zeros, ones and ln of the mixed probability
+        self.top = (keys, zeros, ones, below[1])
+        if upper is not None:
+            self.keys, self.p1, self.weight = (u + own for u, own in zip(upper, (self.keys, self.p1, self.weight), strict=True))
+
+    def add(self, d: int, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Put the level of depth d before the deeper ones."""
+        kt = kt_log(zeros, ones)
+        if below is None:
+            weight, total = np.ones(len(keys)), kt
+        else:
+            deep_keys, deep_total = below
+            parent = (deep_keys >> 8 & ((1 << (8 * d)) - 1)) << 8 | deep_keys & 0xFF
+            children = np.bincount(np.searchsorted(keys, parent), weights=deep_total, minlength=len(keys))
+            total = np.logaddexp(kt, children) - np.log(2)
+            weight = np.exp(kt - np.log(2) - total)
+        self.keys.insert(0, keys)
+        self.p1.insert(0, (ones + 0.5) / (zeros + ones + 1))
+        self.weight.insert(0, weight)
+        return keys, total
+
+    @staticmethod
+    def upper(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> Levels:
+        """The levels of depths 1 and 0 from all sorted nodes of depth 1 and the sums of what their children's totals are."""
+        tree = ContextTree.__new__(ContextTree)
+        tree.keys, tree.p1, tree.weight = [], [], []
+        below = tree.add(1, keys, zeros, ones, (keys, children))
+        roots, at = np.unique(keys & 0xFF, return_inverse=True)
+        tree.add(0, roots, np.bincount(at, weights=zeros), np.bincount(at, weights=ones), below)
+        return tree.keys, tree.p1, tree.weight
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 P(byte | its context) of each gram; a context that training lacks defers to the shorter one."""
@@ -129,7 +159,9 @@ class ContextTree:
             p = np.full(len(grams), 0.5)
             found = np.ones(len(grams), bool)
             ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for d in range(self.depth + 1):
+            for d in range(DEPTH + 1):
+                if not len(self.keys[d]):
+                    break
                 key = (context & ((1 << (8 * d)) - 1)) << 8 | bits
                 at = np.minimum(np.searchsorted(self.keys[d], key), len(self.keys[d]) - 1)
                 found = found & (self.keys[d][at] == key)
@@ -142,18 +174,76 @@ class ContextTree:
             out += np.log10(np.where(one == 1, p, 1 - p))
         return out
 
-    def text_log10(self, texts: list[bytes]) -> list[float]:
-        """log10 P of whole texts with their ends."""
+
+class HeadValues:
+    """log10 P of the frequent grams."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
+        self.grams, self.values = grams, values
+        self.table: GramTable | None = None  # each worker builds its own, which costs less than sending it
+
+    def text_log10(self, texts: list[bytes]) -> tuple[list[float], list[list[dict]]]:
+        """log10 P of the frequent grams of whole texts with their ends, and the other grams of each with their numbers."""
         grams = [text_grams(t) for t in texts]
         starts = np.cumsum([0, *map(len, grams)])[:-1]
         flat = np.concatenate(grams)
         if self.table is None:
-            self.table = GramTable(self.seen, self.seen_log10)
+            self.table = GramTable(self.grams, self.values)
         got = self.table.get(flat)
-        if len(missing := np.flatnonzero(np.isnan(got))):
-            new, back = np.unique(flat[missing], return_inverse=True)
-            got[missing] = self.log10(new)[back]
-        return np.add.reduceat(got, starts).tolist()
+        missing = np.flatnonzero(np.isnan(got))
+        got[missing] = 0
+        rest: list[list[dict]] = [[] for _ in texts]
+        if len(missing):
+            text = np.searchsorted(starts, missing, "right") - 1
+            pair, n = np.unique(text.astype(np.uint64) << np.uint64(32) | flat[missing], return_counts=True)
+            for i, gram, times in zip((pair >> np.uint64(32)).tolist(), (pair & np.uint64(0xFFFFFFFF)).tolist(), n.tolist(), strict=True):
+                rest[i].append({"gram": gram, "n": times})
+        return np.add.reduceat(got, starts).tolist(), rest
+
+
+def packed(grams: pd.Series) -> np.ndarray:
+    return grams.to_numpy(np.int64).astype(np.uint32)
+
+
+def upper_levels(bucketed: DataFrame) -> Levels:
+    """The levels of depths 0 and 1 of all grams, from the parts of the tree below them."""
+
+    def tops(part: pd.DataFrame) -> pd.DataFrame:
+        keys, zeros, ones, total = ContextTree(packed(part["gram"]), part["n"].to_numpy(np.float64), whole=False).top
+        parent, at = np.unique((keys >> 8 & 0xFF) << 8 | keys & 0xFF, return_inverse=True)
+        return pd.DataFrame({"node": parent, "zeros": np.bincount(at, weights=zeros), "ones": np.bincount(at, weights=ones), "total": np.bincount(at, weights=total)})
+
+    found = bucketed.groupBy("bucket").applyInPandas(tops, "node long, zeros double, ones double, total double").groupBy("node")
+    ordered = F.aggregate(F.array_sort(F.collect_list("total")), F.lit(0.0), lambda x, y: x + y)  # the same sum in every run
+    nodes = found.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), ordered.alias("total")).toPandas().sort_values("node")
+    return ContextTree.upper(*(nodes[c].to_numpy() for c in ("node", "zeros", "ones", "total")))
+
+
+def gram_values(bucketed: DataFrame, upper: Levels, wanted: DataFrame | None = None) -> DataFrame:
+    """gram, n and value (log10 P) of every gram of bucketed, or gram and value of those of wanted, which has the same columns."""
+    shared = bucketed.sparkSession.sparkContext.broadcast(upper)
+
+    def own(part: pd.DataFrame) -> pd.DataFrame:
+        grams = packed(part["gram"])
+        return pd.DataFrame({"gram": part["gram"], "n": part["n"], "value": ContextTree(grams, part["n"].to_numpy(np.float64), shared.value).log10(grams)})
+
+    def other(part: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        tree = ContextTree(packed(part["gram"]), part["n"].to_numpy(np.float64), shared.value)
+        return pd.DataFrame({"gram": want["gram"], "value": tree.log10(packed(want["gram"]))})
+
+    if wanted is None:
+        return bucketed.groupBy("bucket").applyInPandas(own, "gram long, n long, value double")
+    return bucketed.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInPandas(other, "gram long, value double")
+
+
+def least_of_head(counts: DataFrame, most: int) -> int:
+    """The least n for which counts(n) has no more than `most` rows of n or over."""
+    least, taken = 1 << 62, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        if taken + r["count"] > most:
+            break
+        least, taken = r["n"], taken + r["count"]
+    return least
 
 
 def parts(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -198,7 +288,7 @@ def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush(counts)
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<struct<word:string,n:long>>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<struct<word:string,n:long>>, tail_grams array<struct<gram:long,n:long>>"
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFrame | None = None) -> DataFrame:
@@ -209,10 +299,11 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFram
     context tree's log10 probability of the text) and bits_per_byte. Training
     texts are the rows of docs whose fold is not held out, or `training`.
 
-    Counts cover all training texts and are summed in Spark. The model is at
-    most MAX_GRAMS grams. The HEAD_WORDS most frequent words' counts are
-    broadcast; a text's other words are joined with the table of all words,
-    which has a row a word and so no hot key. A null or empty text is its end
+    Counts cover all training texts and are summed in Spark, and the model has
+    all their grams at DEPTH, however many. The HEAD_GRAMS most frequent grams'
+    values and the HEAD_WORDS most frequent words' counts are broadcast; a
+    text's other grams and words are joined with tables that have a row a gram
+    or a word and so no hot key. A null or empty text is its end
     alone; very long texts are scored in whole; repeated rows are scored alike
     and each trains; with no training text every byte has 1/256; an empty table
     gives an empty table; other columns are not read.
@@ -223,33 +314,30 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFram
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     grams = materialize(train.mapInPandas(gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    depth = DEPTH
-    while depth and grams.select(F.col("gram").bitwiseAND((1 << 8 * (depth + 1)) - 1)).distinct().count() > MAX_GRAMS:
-        depth -= 1
-    if depth < DEPTH:
-        grams = grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * (depth + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-    counted = grams.toPandas()
-    model = ContextTree(counted["gram"].to_numpy().astype(np.uint32), counted["n"].to_numpy().astype(np.float64), depth) if len(counted) else None
-
-    by_count = words.groupBy("n").count().orderBy(F.desc("n"))
-    least, taken = 1 << 62, 0
-    for r in by_count.toLocalIterator():
-        if taken + r["count"] > HEAD_WORDS:
-            break
-        least, taken = r["n"], taken + r["count"]
+    n_grams = grams.count()
+    upper = head_values = None
+    bucket = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(max(BUCKETS, n_grams // BUCKET_GRAMS))).alias("bucket")
+    bucketed = grams.select("gram", "n", bucket)
+    if n_grams:
+        upper = upper_levels(bucketed)
+        values = materialize(gram_values(bucketed, upper), "gram_values")
+        frequent = values.filter(F.col("n") >= least_of_head(values, HEAD_GRAMS)).select("gram", "value").toPandas()
+        head_values = HeadValues(packed(frequent["gram"]), frequent["value"].to_numpy(np.float64))
+
+    least = least_of_head(words, HEAD_WORDS)
     denominator = total + 0.5 * (distinct + 1)
     head = words.filter(F.col("n") >= least).toPandas()
     spark = docs.sparkSession
     logs = dict(zip(map(raw, head["word"]), np.log10((head["n"].to_numpy(float) + 0.5) / denominator).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((model, logs))
+    shared = spark.sparkContext.broadcast((head_values, logs))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, logs = shared.value
+        head_values, logs = shared.value
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for a, b in parts(texts):
                 own = [raw(t) for t in texts[a:b]]
-                score = model.text_log10(own) if model else [-(len(t) + 1) * np.log10(256) for t in own]
+                score, tail_grams = head_values.text_log10(own) if head_values else ([-(len(t) + 1) * np.log10(256) for t in own], [[]] * len(own))
                 rows = []
                 for t in own:
                     tokens = t.lower().split()
@@ -260,18 +348,22 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFram
                     rows.append((len(tokens), len(known), float(sum(known)), [{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in rest.items()]))
                 part = batch.iloc[a:b]
                 n_tokens, n_known, base, tail = zip(*rows, strict=True)
-                yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": n_tokens, "head_known": n_known, "head_base": base, "score": score, "tail": tail})
+                yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": n_tokens, "head_known": n_known, "head_base": base, "score": score, "tail": tail, "tail_grams": tail_grams})
 
     table = materialize(texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, SCORED), "scored")
     rare = table.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
     c = F.coalesce("n", F.lit(0))
-    rest = (
-        rare.join(words.filter(F.col("n") < least), "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(denominator)))).alias("rest_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rest_known"))
-    )
-    return table.drop("tail").join(rest, "row", "left").select(
+    base = F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(denominator)))).alias("rest_base")
+    known = F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rest_known")
+    out = table.drop("tail", "tail_grams").join(rare.join(words.filter(F.col("n") < least), "word", "left").groupBy("row").agg(base, known), "row", "left")
+    rest_score = F.lit(0.0)
+    if n_grams:
+        used = table.select("row", F.explode("tail_grams").alias("t")).select("row", F.col("t.gram").alias("gram"), F.col("t.n").alias("times"))
+        wanted = used.select("gram").distinct().select("gram", bucket)
+        priced = used.join(gram_values(bucketed, upper, wanted), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("rest_score"))
+        out, rest_score = out.join(priced, "row", "left"), F.coalesce("rest_score", F.lit(0.0))
+    return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("head_base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"), (F.col("score") + rest_score).alias("score"),
     )

@@ -196,6 +196,23 @@ def test_language_model(docs, monkeypatch):
         assert abs((10 ** tree.log10(every)).sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("most", [None, 100, 0])
+def test_language_model_has_one_depth(docs, monkeypatch, most):
+    """The score is that of the tree of all grams, whatever part of them is broadcast."""
+    import zlib
+
+    if most is not None:
+        monkeypatch.setattr(lm_scoring, "MAX_GRAMS", most, raising=False)
+        monkeypatch.setattr(lm_scoring, "HEAD_GRAMS", most, raising=False)
+    texts = {i: (t or "").encode() for i, t, *_ in corpus()}
+    train = [lm_scoring.text_grams(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    grams, n = np.unique(np.concatenate(train), return_counts=True)
+    tree = lm_scoring.ContextTree(grams, n.astype(float))
+    for r in lm_scoring.lm_scores(docs).collect():
+        want = tree.log10(lm_scoring.text_grams(texts[r["doc_id"]])).sum()
+        assert abs(r["score"] - want) < 1e-7 * max(1, abs(want))
+
+
 def test_quality_rules(docs):
     for r in quality_rules.quality_rules(docs).collect():
         text = corpus()[r["doc_id"]][1] or ""
