@@ -5,7 +5,9 @@ words, one per language. Spark counts the 4-grams of all documents; the lower
 orders follow from the distinct 4-grams (continuation counts), so one count is
 enough. The model is a set of sorted key arrays that are searched by bisection.
 A word's probability does not depend on its neighbours, so each worker scores a
-word once. Bands come from the quartiles of all documents of a language.
+word once. Where the models are too large to broadcast, the same model is a set
+of Spark tables: they score each distinct word once, the scores of frequent
+words are broadcast and those of the others joined. Bands come from the quartiles of all documents of a language.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.llm.lm_scoring import least_of_head
 from loreweave.llm.words import Interner, WordHashes, ascii_words, window_hashes
 from loreweave.runtime import materialize
 
 ORDER = 4
 #: Code points of a gram take 16 bits; others are one unknown character.
 PAD, END, UNKNOWN = 0xFFFE, 0xFFFF, 0xFFFD
-#: Model entries that are broadcast at most; with more, the order is lowered by one.
+#: 4-grams of models that are broadcast; with more, tables score the words and the results are the same.
 MAX_ENTRIES = 6_000_000
+#: Frequent words whose scores are broadcast at most where tables score the words.
+HEAD_WORDS = 200_000
 SYMBOLS = "#*$%&|<>"
 #: A run of one punctuation mark is read as a single mark, so that long runs don't look like easy text.
 _RUNS = re.compile(rb"([!-/:-@\[-`{-~])\1+")
@@ -72,7 +77,7 @@ def counted_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class KneserNey:
     """Interpolated modified Kneser-Ney probabilities in sorted arrays."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER) -> None:
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
         at = np.argsort(keys)
         level = {ORDER: (keys[at], counts[at].astype(np.float64), counts[at].astype(np.float64))}
         for n in range(ORDER - 1, 0, -1):
@@ -82,18 +87,14 @@ class KneserNey:
             # what starts a word has one possible left neighbour, so its own count is used
             first = (low >> np.uint64(16 * (n - 1))) == PAD if n > 1 else np.zeros(len(low), bool)
             level[n] = (low, np.where(first, occurred, np.bincount(inverse).astype(np.float64)), occurred)
-        if order < ORDER:
-            low, _, raw = level[order]
-            level[order] = (low, raw, raw)
-        self.order = order
         self.floor = 1.0 / (len(level[1][0]) + 1)
         self.keys: dict[int, np.ndarray] = {}
         self.p: dict[int, np.ndarray] = {}
         self.context: dict[int, np.ndarray] = {}
         self.gamma: dict[int, np.ndarray] = {}
-        for n in range(1, order + 1):
+        for n in range(1, ORDER + 1):
             grams, c, _ = level[n]
-            discount = self.discounts(c)[np.minimum(c, 3).astype(np.int64)]
+            discount = self.discounts(*(float((c == k).sum()) for k in (1, 2, 3, 4)))[np.minimum(c, 3).astype(np.int64)]
             self.context[n], inverse = np.unique(grams >> np.uint64(16), return_inverse=True)
             total = np.bincount(inverse, weights=c)
             self.gamma[n] = np.bincount(inverse, weights=np.minimum(discount, c)) / total
@@ -106,9 +107,8 @@ class KneserNey:
         return np.uint64((1 << (16 * n)) - 1)
 
     @staticmethod
-    def discounts(c: np.ndarray) -> np.ndarray:
-        """D for counts 0, 1, 2, and 3 or more; half a count where the corpus is too small to tell."""
-        n1, n2, n3, n4 = (float((c == k).sum()) for k in (1, 2, 3, 4))
+    def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+        """D for counts 0, 1, 2, and 3 or more, from how many grams have counts 1 to 4; half a count where the corpus is too small to tell."""
         if not (n1 and n2 and n3 and n4):
             return np.array([0.0, 0.5, 0.5, 0.5])
         y = n1 / (n1 + 2 * n2)
@@ -132,23 +132,115 @@ class KneserNey:
 
     def word_scores(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The natural log probability of each word's characters and its end; keys and starts are of word_grams()."""
-        return np.add.reduceat(np.log(self.probability(keys & self.mask(self.order), self.order)), starts)
+        return np.add.reduceat(np.log(self.probability(keys, ORDER)), starts)
+
+
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """gram, lang and value: the log probability of every 4-gram of counts(lang, gram, n) in the model of every language."""
+    spark = counts.sparkSession
+    low = lambda n: F.col("gram").bitwiseAND((1 << 16 * n) - 1)
+    before = F.shiftrightunsigned("gram", 16)
+    level = {ORDER: counts.select("lang", "gram", F.col("n").alias("c"), F.col("n").alias("raw"))}
+    for n in range(ORDER - 1, 0, -1):
+        found = level[n + 1].select("lang", low(n).alias("gram"), "raw").groupBy("lang", "gram").agg(F.count("*").alias("left"), F.sum("raw").alias("raw"))
+        first = F.shiftrightunsigned("gram", 16 * (n - 1)) == PAD if n > 1 else F.lit(False)
+        level[n] = materialize(found.select("lang", "gram", F.when(first, F.col("raw")).otherwise(F.col("left")).alias("c"), "raw"), f"level{n}")
+    langs = counts.select("lang").distinct()
+    floor = level[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("lower"))
+    own = every = None
+    for n in range(1, ORDER + 1):
+        many = [F.count_if(F.col("c") == k).cast("double") for k in (1, 2, 3, 4)]
+        rows = [(lang, KneserNey.discounts(*k)[1:].tolist()) for lang, *k in level[n].groupBy("lang").agg(*many).collect()]
+        grams = level[n].join(F.broadcast(spark.createDataFrame(rows, "lang string, d array<double>")), "lang")
+        grams = grams.select("lang", "gram", before.alias("context"), low(n - 1).alias("rest"), "c", F.element_at("d", F.least("c", F.lit(3)).cast("int")).alias("discount"))
+        contexts = grams.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(F.least("discount", "c")).alias("kept"))
+        contexts = materialize(contexts.select("lang", "context", "total", (F.col("kept") / F.col("total")).alias("gamma")), f"contexts{n}")
+        lower = lambda df, p: df.join(floor, "lang") if p is None else df.join(p.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower")), ["lang", "rest"])
+        p = F.greatest(F.col("c") - F.col("discount"), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("lower")
+        above = materialize(lower(grams.join(contexts, ["lang", "context"]), own).select("lang", "gram", p.alias("p")), f"own{n}")
+        asked = counts.select(low(n).alias("gram") if n < ORDER else "gram").distinct().crossJoin(F.broadcast(langs)).select("lang", "gram", before.alias("context"), low(n - 1).alias("rest"))
+        asked = lower(asked.join(above, ["lang", "gram"], "left").join(contexts.select("lang", "context", "gamma"), ["lang", "context"], "left"), every)
+        p = F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("lower"))
+        own, every = above, materialize(asked.select("lang", "gram", p.alias("p")), f"every{n}")
+    return every.select("gram", "lang", F.log("p").alias("value"))
+
+
+def counted_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flush(counts: Counter) -> Iterator[pd.DataFrame]:
+        words = list(counts)
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in part], "n": [counts[w] for w in part]})
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            counts.update(ascii_words(text))
+            if len(counts) > 300_000:
+                yield from flush(counts)
+                counts = Counter()
+    yield from flush(counts)
+
+
+def grams_of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), 5_000):
+            words = batch["word"].iloc[i : i + 5_000].to_numpy()
+            keys, starts = word_grams([w.encode("utf-8", "surrogatepass") for w in words])
+            at = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(keys))))
+            pairs = pd.DataFrame({"at": at, "gram": keys.view(np.int64)}).groupby(["at", "gram"], sort=False).size().reset_index(name="times")
+            yield pd.DataFrame({"word": words[pairs["at"]], "gram": pairs["gram"], "times": pairs["times"].astype(np.int64)})
+
+
+def word_table(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """word, n, score and units of every word of texts(text), whose 4-grams counts(lang, gram, n) has."""
+    words = materialize(texts.select("text").mapInPandas(counted_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    grams = words.select("word").mapInPandas(grams_of_words, "word string, gram long, times long")
+    sums = grams.join(gram_logs(counts), "gram").groupBy("word", "lang").agg(F.sum(F.col("times") * F.col("value")).alias("score"), F.sum("times").alias("units"))
+    best = sums.groupBy("word").agg(F.max("score").alias("score"), F.max("units").alias("units"))
+    return materialize(words.join(best, "word"), "word_scores")
+
+
+class KnownWords:
+    """Scores of the frequent words; NaN for the others."""
+
+    def __init__(self, table: pd.DataFrame) -> None:
+        keys = (w.encode("utf-8", "surrogatepass") for w in table["word"])
+        self.of = dict(zip(keys, zip(table["score"].tolist(), table["units"].tolist(), strict=True), strict=True))
+
+    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [self.of.get(w, (np.nan, 0)) for w in words]
+        return np.array([x for x, _ in got], np.float64), np.array([u for _, u in got], np.float64)
 
 
-def fit_models(df: DataFrame) -> dict[str, KneserNey]:
-    """Count df(lang, text) and build a model for each language."""
+class Models:
+    """The models of all languages; a word's score is that of the language that suits it best."""
+
+    def __init__(self, of: dict[str, KneserNey]) -> None:
+        self.of = of
+
+    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        keys, starts = word_grams(words)
+        return np.max([m.word_scores(keys, starts) for m in self.of.values()], axis=0), np.diff(np.append(starts, len(keys)))
+
+
+def fit_models(df: DataFrame) -> tuple[Models | KnownWords, DataFrame | None]:
+    """Count df(lang, text) and build a model for each language.
+
+    Returns what is broadcast and, where that knows only the frequent words,
+    the table of the other words' scores.
+    """
     counts = df.mapInPandas(counted_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "grams")
-    order = ORDER
-    while order > 1 and counts.select("lang", F.col("gram").bitwiseAND(int(KneserNey.mask(order)) if order < ORDER else -1)).distinct().count() > MAX_ENTRIES:
-        order -= 1
-    if order < ORDER:
-        counts = counts.groupBy("lang", F.col("gram").bitwiseAND(int(KneserNey.mask(order))).alias("gram")).agg(F.sum("n").alias("n"))
+    if counts.count() > MAX_ENTRIES:
+        words = word_table(df, counts)
+        least = least_of_head(words, HEAD_WORDS)
+        return KnownWords(words.filter(F.col("n") >= least).toPandas()), words.filter(F.col("n") < least)
     models = {}
     table = counts.toPandas()
     for lang, part in table.groupby("lang"):
-        models[lang] = KneserNey(part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy(), order)
-    return models
+        models[lang] = KneserNey(part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy())
+    return Models(models), None
 
 
 def text_counts(text: str, hashes: np.ndarray) -> tuple[int, int, int, int]:
@@ -175,24 +267,33 @@ class ScoredWords:
     of its document; the band that the document's mean must meet is.
     """
 
-    def __init__(self, models: dict[str, KneserNey]) -> None:
-        self.models, self.names = list(models.values()), Interner()
+    def __init__(self, models: Models | KnownWords) -> None:
+        self.models, self.names = models, Interner()
         self.hashes, self.scores, self.units = np.empty(0, np.uint64), np.empty(0), np.empty(0)
 
     def learn(self) -> None:
         if new := self.names.words[len(self.hashes) :]:
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(WordHashes().__missing__, new), np.uint64, len(new))])
-            keys, starts = word_grams(new)
-            got = np.max([m.word_scores(keys, starts) for m in self.models], axis=0)
-            self.scores = np.concatenate([self.scores, got])
-            self.units = np.concatenate([self.units, np.diff(np.append(starts, len(keys)))])
+            scores, units = self.models.scores(new)
+            self.scores = np.concatenate([self.scores, scores])
+            self.units = np.concatenate([self.units, units])
+
+    def judged(self, own: np.ndarray) -> tuple[float, float, list[dict]]:
+        """The sums of scores and units of a text's words, and its words without a score with their numbers."""
+        scores = self.scores[own]
+        unknown = np.isnan(scores)
+        if not unknown.any():
+            return float(scores.sum()), float(self.units[own].sum()), []
+        at, n = np.unique(own[unknown], return_counts=True)
+        rest = [{"word": self.names.words[i].decode("utf-8", "surrogatepass"), "n": k} for i, k in zip(at.tolist(), n.tolist(), strict=True)]
+        return float(scores[~unknown].sum()), float(self.units[own].sum()), rest
 
 
-RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, word_score double, units double, tail array<struct<word:string,n:long>>"
 
 
-def rule_columns(df: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
-    """Append the struct `rules` of plain counts and the log perplexity a character (null without words)."""
+def rule_columns(df: DataFrame, models: Models | KnownWords) -> DataFrame:
+    """Append the struct `rules` of plain counts, the sums of word scores and their characters, and the words that models lack."""
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf(RULES)
@@ -209,12 +310,22 @@ def rule_columns(df: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
                 seen.learn()
                 for text, own in zip(part, at, strict=True):
                     counts = text_counts(text, seen.hashes[own])
-                    rows.append((len(own), *counts, -float(seen.scores[own].sum() / seen.units[own].sum()) if len(own) else None))
+                    rows.append((len(own), *counts, *seen.judged(own)))
             yield pd.DataFrame(rows, columns=names)
 
     return df.withColumn("rules", rules("text"))
 
 
+def with_perplexity(scored: DataFrame, rare: DataFrame | None) -> DataFrame:
+    """Append log_ppl, the log perplexity a character (null without words); rare: the scores of the words in tail."""
+    if rare is not None:
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "rows")
+        used = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
+        rest = used.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("rest_score"), F.sum(F.col("times") * F.col("units")).alias("rest_units"))
+        scored = scored.join(rest, "row", "left").withColumn("word_score", F.col("word_score") + F.coalesce("rest_score", F.lit(0.0))).withColumn("units", F.col("units") + F.coalesce("rest_units", F.lit(0)))
+    return scored.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("word_score") / F.col("units")))
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", width: float = 3.0, least: float = 0.03) -> DataFrame:
     """Judge every document of df(id_col, lang, text) by the rules and by its perplexity band.
 
@@ -226,14 +337,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", width: float = 3.0, lea
     scatter more.
 
     Counts and quartiles come from all documents. No text is shuffled, only
-    4-gram counts and one narrow row a document. A null lang is a language of
+    4-gram counts and one narrow row a document; of a vocabulary whose models
+    are not broadcast, its distinct words and each document's rare ones too. The
+    models have order ORDER at every size. A null lang is a language of
     its own; a null or empty text has no words and base_failed; one very long
     word is scored like any other; repeated rows are judged alike; an empty
     table gives an empty table; other columns, whatever their names, are not read.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), "text")
-    models = fit_models(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text"))
-    scored = materialize(rule_columns(docs, models).select("id", "lang", "rules.*"), "rules")
+    models, rare = fit_models(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text"))
+    scored = with_perplexity(rule_columns(docs, models).select("id", "lang", "rules.*"), rare)
+    scored = materialize(scored.drop("row", "tail", "rest_score", "rest_units"), "rules")
     scored = scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     bands = scored.filter(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))

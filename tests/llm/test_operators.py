@@ -223,6 +223,19 @@ def test_quality_rules(docs):
         assert r["base_failed"] == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
 
 
+@pytest.mark.parametrize("head", [200_000, 20, 0])
+def test_quality_rules_have_one_order(docs, monkeypatch, head):
+    """Perplexities and bands are those of the 4-gram models, also where tables score the words."""
+    want = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    monkeypatch.setattr(quality_rules, "MAX_ENTRIES", 10)
+    monkeypatch.setattr(quality_rules, "HEAD_WORDS", head, raising=False)
+    got = quality_rules.quality_rules(docs).collect()
+    assert len(got) == len(want) and sum(r["kept"] for r in got) > 0
+    for r in got:
+        for name, w in want[r["doc_id"]].asDict().items():
+            assert r[name] == w or abs(r[name] - w) < 1e-9 * abs(w)
+
+
 @pytest.mark.parametrize(("scores", "label", "name"), [(quality_classifier.quality_scores, "quality", "sf0.01"), (toxicity.toxicity_scores, "toxic", "sf0.01")])
 def test_held_out_accuracy(spark, scores, label, name):
     docs, labels = (spark.read.parquet(f"/root/testdata/{name}/{t}.parquet") for t in ("documents", "labels"))
