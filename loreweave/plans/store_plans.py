@@ -44,7 +44,7 @@ ENTITIES = f"SELECT id, upper(id) AS name FROM (SELECT subject AS id FROM ({FACT
 
 def ranked(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("want"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("want"))
     return vectors.knn_many(e, q, 10).withColumn("hit", (F.col("label") == F.col("want")).cast("int"))
 
 

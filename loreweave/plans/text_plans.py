@@ -65,7 +65,7 @@ SELECT conv_id, turn, round(CASE WHEN sum(least(l, r)) > 0 THEN 2.0::DOUBLE * su
 
 def pool(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("want"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("want"))
     hits = vectors.knn_many(e, q, 50).select("query_id", "vec_id", "rank", "label", "want", (1 - F.col("similarity")).alias("distance"))
     return hits.join(docs(spark, sf_dir), F.col("vec_id") == F.col("id"), "left")
 

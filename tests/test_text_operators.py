@@ -2,9 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loreweave import registry
 from loreweave.operators import chunking, classify, digest
 from loreweave.sources import chat_exports
 from loreweave.streaming import activity
@@ -85,3 +87,37 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     run.awaitTermination(120)
     pick = lambda df: sorted(df.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("w"), "n").collect())
     assert pick(spark.table("hourly")) == pick(activity.windowed_counts(table))
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+def query_ids(spark):
+    return {r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect() if r["vec_id"] % 20 == 0}
+
+
+def test_batched_knn_takes_every_query(spark):
+    """Brute force over all rows for every row whose id is divisible by 20."""
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    vectors = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in rows}
+    cosine = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    got = {}
+    for r in registry.queries()["v3_w1_batched_knn"](spark, DATA).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["similarity"])
+    assert set(got) == query_ids(spark)
+    for q, found in got.items():
+        want = sorted((cosine(vectors[q], v) for i, v in vectors.items() if i != q), reverse=True)[:10]
+        assert sorted(found) == list(range(1, 11)) and len({i for i, _ in found.values()}) == 10
+        for rank, s in enumerate(want, 1):
+            i, similarity = found[rank]
+            assert i != q and abs(cosine(vectors[q], vectors[i]) - s) < 1e-9 and abs(similarity - s) < 0.00051
+
+
+@pytest.mark.parametrize("name", ["m1_m2_recall_ndcg", "r3_topic_boost", "r4_keyword_boost", "r6_x13_day_boost", "r11_promote", "w2_u5_sessions_of_hits"])
+def test_every_query_is_ranked(spark, name):
+    assert {r["query_id"] for r in registry.queries()[name](spark, DATA).select("query_id").distinct().collect()} == query_ids(spark)
+
+
+def test_distribution_counts_every_query(spark):
+    r = registry.queries()["m7_a13_distribution"](spark, DATA).first()
+    assert r["perfect"] + r["partial"] + r["zero"] == len(query_ids(spark))
