@@ -121,3 +121,15 @@ def test_every_query_is_ranked(spark, name):
 def test_distribution_counts_every_query(spark):
     r = registry.queries()["m7_a13_distribution"](spark, DATA).first()
     assert r["perfect"] + r["partial"] + r["zero"] == len(query_ids(spark))
+
+
+def test_invalidate_returns_all_facts(spark):
+    """Only the open facts of the triple are closed; those of every other subject stay as they are."""
+    from collections import Counter
+
+    from loreweave.plans.store_plans import fact_rows
+
+    names = ["subject", "predicate", "object", "valid_from", "valid_to"]
+    facts = [tuple(r) for r in fact_rows(spark, DATA).select(*names).collect()]
+    want = Counter((*f[:4], "2024-02-01") if f[:3] == ("user_3", "click", "k_1") and f[4] is None else f for f in facts)
+    assert Counter(tuple(r) for r in registry.queries()["k3_invalidate"](spark, DATA).select(*names).collect()) == want
