@@ -19,10 +19,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("predicted = 0").select(docs.columns)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Append row_key, a number for each row of stored Parquet files that is the same in every scan."""
+    rows = docs.select("*", F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_index"))
+    files = sorted(r["row_file"] for r in rows.select("row_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "row_file string, file_number long")
+    key = F.shiftleft("file_number", 40).bitwiseOR(F.col("row_index")).alias("row_key")
+    return rows.join(F.broadcast(numbers), "row_file").select(*docs.columns, key)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays: shingles of five words, a similarity of 0.8 or more."""
-    found = near_components(docs, width=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates stays, that of the smallest doc_id: shingles of five words, a similarity of 0.8 or more."""
+    keyed = with_row_key(docs)
+    found = near_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), width=5, percent=80).filter("doc_id <> component_id")
+    linked = found.select(F.col("doc_id").alias("row_key"), "component_id")
+    members = materialize(linked.unionByName(linked.select(F.col("component_id").alias("row_key"), "component_id").distinct()), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")
+    stays = members.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least.row_key").alias("row_key"))
+    gone = members.join(stays, "row_key", "left_anti").select("row_key")
+    return keyed.join(gone, "row_key", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -270,3 +270,14 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, path)
     assert {r["doc_id"] for r in out.collect()} <= clean
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated rows, two texts that share a doc_id, and copies without a doc_id."""
+    rng = np.random.default_rng(5)
+    a, b, c, d = (" ".join(f"{k}{i}" for i in rng.integers(0, 10_000, 60)) for k in "abcd")
+    rows = [(1, a), (1, a), (2, a), (7, b), (3, b), (7, c), (None, d), (None, d), (None, d), (9, ""), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert got == Counter([(1, a), (3, b), (7, c), (None, d), (9, ""), (9, "")])
