@@ -65,7 +65,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: SQL can't express the learned lexicon of the first stage; tests/llm holds the pipeline against a plain version.
+#: SQL can't express the learned lexicon of the first stage; tests/llm checks that what is left is clean and single, not the whole result.
 ORACLE_SQL = None
 
 
