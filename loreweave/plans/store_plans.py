@@ -52,7 +52,7 @@ RANKED = """SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, hit, s FROM (
  SELECT q.vec_id AS query_id, e.vec_id, CAST(e.label = q.label AS INTEGER) AS hit, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) /
    (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS s,
    row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS r
- FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE r <= 10"""
+ FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE r <= 10"""
 NODES = f"""SELECT topic, list_sort(list(DISTINCT domain)) AS domains, count(*) AS n, list_sort(list_reverse_sort(list(DISTINCT date))[1:5]) AS dates
  FROM ({CHUNKS}) WHERE topic <> '' AND topic <> 'general' AND domain <> '' GROUP BY topic"""
 RECALL = f"""SELECT query_id, CAST(max(hit) AS DOUBLE) AS recall_any, round(CASE WHEN sum(hit) > 0 THEN sum(hit / log2(rank + 1)) /
@@ -83,7 +83,7 @@ PLANS = {
     "k4_f4_about_entity": (lambda s, d: facts.about(fact_rows(s, d), entity_rows(s, d), "user 7", "both", "2024-01-15"), f"WITH f AS (SELECT * FROM ({FACTS}) WHERE valid_from <= '2024-01-15' AND (valid_to IS NULL OR valid_to >= '2024-01-15')), e AS ({ENTITIES}) SELECT 'outgoing' AS direction, 'user 7' AS subject, predicate, name AS object, valid_from, valid_to, valid_to IS NULL AS current FROM f JOIN e ON object = id WHERE subject = 'user_7' UNION ALL SELECT 'incoming', name, predicate, 'user 7', valid_from, valid_to, valid_to IS NULL FROM f JOIN e ON subject = id WHERE object = 'user_7'"),
     "k5_j3_relation": (lambda s, d: facts.relation(fact_rows(s, d), entity_rows(s, d), "click", "2024-01-10"), f"SELECT a.name AS subject, predicate, b.name AS object, valid_from, valid_to FROM ({FACTS}) f JOIN ({ENTITIES}) a ON subject = a.id JOIN ({ENTITIES}) b ON object = b.id WHERE predicate = 'click' AND valid_from <= '2024-01-10' AND (valid_to IS NULL OR valid_to >= '2024-01-10')"),
     "k6_o2_timeline": (lambda s, d: facts.timeline(fact_rows(s, d).filter("subject = 'user_3'")).select("subject", "predicate", "object", "valid_from"), f"SELECT subject, predicate, object, valid_from FROM ({FACTS}) WHERE subject = 'user_3' ORDER BY valid_from NULLS LAST, subject, predicate, object LIMIT 100"),
-    "k3_invalidate": (lambda s, d: facts.invalidate(fact_rows(s, d), "user_3", "click", "k_1", "2024-02-01"), f"SELECT subject, predicate, object, valid_from, CASE WHEN predicate = 'click' AND object = 'k_1' AND valid_to IS NULL THEN '2024-02-01' ELSE valid_to END AS valid_to FROM ({FACTS}) WHERE subject = 'user_3'"),
+    "k3_invalidate": (lambda s, d: facts.invalidate(fact_rows(s, d), "user_3", "click", "k_1", "2024-02-01"), f"SELECT subject, predicate, object, valid_from, CASE WHEN subject = 'user_3' AND predicate = 'click' AND object = 'k_1' AND valid_to IS NULL THEN '2024-02-01' ELSE valid_to END AS valid_to FROM ({FACTS})"),
     "k7_a6_fact_stats": (lambda s, d: facts.stats(fact_rows(s, d), entity_rows(s, d)).withColumn("predicates", F.array_join("predicates", ",")), f"SELECT (SELECT count(*) FROM ({ENTITIES})) AS entities, count(*) AS facts, count(*) FILTER (valid_to IS NULL) AS current, count(*) FILTER (valid_to IS NOT NULL) AS expired, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS predicates FROM ({FACTS})"),
     "n8_transcripts": (lambda s, d: transcripts.transcript(table(s, d, MSG)), "SELECT conv_id, string_agg(CASE WHEN b IS NULL THEN '' WHEN role = 'assistant' AND b = 'user' THEN chr(10) ELSE chr(10) || chr(10) END || CASE WHEN role = 'user' THEN '> ' || text ELSE text END, '' ORDER BY turn) AS transcript FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) GROUP BY conv_id"),
     "p6_user_documents": (lambda s, d: transcripts.user_document(table(s, d, MSG)), "SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS document FROM conversations GROUP BY conv_id"),

@@ -72,7 +72,7 @@ def pool(spark, sf_dir):
 
 POOL = """SELECT p.*, 1 - sim AS distance, text AS document FROM (SELECT q.vec_id AS query_id, q.label AS want, e.vec_id, e.label, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) /
  (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS s, round(s, 3) AS sim,
- row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS r FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) p LEFT JOIN documents ON doc_id = vec_id WHERE r <= 50"""
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS r FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) p LEFT JOIN documents ON doc_id = vec_id WHERE r <= 50"""
 
 
 def top(hits):
