@@ -36,3 +36,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )
+
+
+def relabelled(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component(node, component) after links(a, b) between its nodes; only the components that they join are worked on."""
+    side = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    joined = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return materialize(component.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "component")

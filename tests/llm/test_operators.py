@@ -52,11 +52,7 @@ def sets_of(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "percent", "small"), [(3, 90, 32), (5, 80, 32), (3, 90, 2)])
-def test_jaccard_components(docs, monkeypatch, width, percent, small):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
-    sets = sets_of(corpus(), width)
+def components_of(sets, percent):
     parent = {i: i for i in sets}
 
     def find(x):
@@ -70,8 +66,50 @@ def test_jaccard_components(docs, monkeypatch, width, percent, small):
             if a < b and n and 100 * n >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
+    return {(i, len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("width", "percent", "pivots"), [(3, 90, 64), (5, 80, 64), (3, 90, 1)])
+def test_jaccard_components(docs, monkeypatch, width, percent, pivots):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     got = {tuple(r) for r in jaccard_join.near_components(docs, width, percent).collect()}
-    assert got == {(i, len(s), find(i)) for i, s in sets.items()}
+    assert got == components_of(sets_of(corpus(), width), percent)
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_of_wide_sets_at_the_threshold(spark, width, percent):
+    """Sets of 700 to 900 shingles that differ in as many as a linked pair may, and in one more, at one place or many."""
+    rows, made = [], 0
+    for n in (700, 900):
+        base = [f"b{n}_{i}" for i in range(n + width - 1)]
+        # k new words at the end make k new shingles, of n old ones each
+        most = n * (100 - percent) // percent
+        for extra in (most, most + 1):
+            rows += [(made, " ".join(base)), (made + 1, " ".join(base + [f"x{made}_{i}" for i in range(extra)]))]
+            made += 2
+            base = [f"{w}_{extra}" for w in base]
+        # changed words far apart change `width` shingles each on either side
+        for changes in range(n * (100 - percent) // (100 + percent) // width, n * (100 - percent) // (100 + percent) // width + 2):
+            own = [f"{w}_{changes}" for w in base]
+            other = list(own)
+            for c in range(changes):
+                other[width + c * (n // (changes + 1))] = f"y{made}_{c}"
+            rows += [(made, " ".join(own)), (made + 1, " ".join(other))]
+            made += 2
+    want = components_of(sets_of([(i, t) for i, t in rows], width), percent)
+    got = {tuple(r) for r in jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
+    assert got == want and len({c for _, _, c in want}) == made - 4
+
+
+def test_ids_stay_as_they_are(spark):
+    """Ids above 2^53 beside a null id, text ids, and two texts under one id."""
+    words = " ".join(f"w{i}" for i in range(120))
+    big = [(2**60 + 3, words), (2**60 + 1, words), (None, words), (5, words + " tail"), (5, "other text"), (None, "")]
+    got = Counter(tuple(r) for r in jaccard_join.near_components(spark.createDataFrame(big, "doc_id long, text string")).collect())
+    assert got == Counter([(2**60 + 3, 118, 5), (2**60 + 1, 118, 5), (None, 118, None), (5, 119, 5), (5, 1, 5), (None, 0, None)])
+    named = [("b", words), ("a", words), ("c", "x y z w"), (None, words)]
+    got = {tuple(r) for r in jaccard_join.near_components(spark.createDataFrame(named, "doc_id string, text string")).collect()}
+    assert got == {("b", 118, "a"), ("a", 118, "a"), ("c", 2, "c"), (None, 118, None)}
 
 
 @pytest.mark.parametrize("hot", [2000, 1])
