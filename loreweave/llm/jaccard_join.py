@@ -30,6 +30,8 @@ from loreweave.runtime import drop_table, materialize
 
 #: Sets of a group that all others are compared with in the first round after the stars; four times as many in each later one.
 PIVOTS = 64
+#: Rows whose sets and keys a Python worker holds at once.
+PART_ROWS = 256
 #: The bits of a key that name its band.
 BAND = np.uint64(31)
 #: Bits of the folded sketch for each shingle that a linked pair can differ in, at least; and of the part that is compared first.
@@ -89,6 +91,13 @@ def parity_sketch(items: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The batches in parts of so few rows that what is made of a part is small."""
+    for batch in batches:
+        for first in range(0, len(batch), PART_ROWS):
+            yield batch.iloc[first : first + PART_ROWS]
+
+
 SIGNED = "n long, x long, s long, first array<long>, sketch array<long>, low int, sizes array<int>, needs array<int>, keys array<long>"
 
 
@@ -96,7 +105,7 @@ def signed_sets(width: int, percent: int):
     @F.pandas_udf(SIGNED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for texts in batches:
+        for texts in pieces(batches):
             rows = []
             for text in texts:
                 items = shingles(text, width, hashes)
@@ -114,7 +123,7 @@ def full_sets(width: int):
     @F.pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = WordHashes()
-        for texts in batches:
+        for texts in pieces(batches):
             yield pd.Series([shingles(t, width, hashes).view(np.int64) for t in texts])
 
     return run
@@ -159,10 +168,9 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     The pivot is the node with the most shared keys, the least on a tie: what
     the others of a group were copied from shares more of them than they do.
     """
-    rows = materialize(nodes.select(F.explode("keys").alias("key"), "node"), "keys")
+    rows = nodes.select(F.explode("keys").alias("key"), "node")
     often = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     shared = materialize(rows.join(often, "key").withColumn("band", F.col("key").bitwiseAND(int(BAND)).cast("int")), "shared")
-    drop_table(rows)
     held = shared.groupBy("node", "band").agg(F.count("*").alias("held")).join(nodes.select("node", "low", "sizes", "needs"), "node")
     of_band = lambda c: F.get(c, F.col("band") - F.col("low"))
     held = held.select("node", "band", (of_band("needs") - of_band("sizes") + F.col("held")).alias("left")).filter("left > 0")
@@ -215,6 +223,8 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     usable = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = usable.groupBy("n", "x", "s").agg(F.min("doc_id").alias("least"), F.first("first").alias("first"), F.first("sketch").alias("sketch"), F.first("low").alias("low"), F.first("sizes").alias("sizes"), F.first("needs").alias("needs"), F.first("keys").alias("keys"))
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = materialize(signed.select("doc_id", "n", "x", "s"), "members")
+    drop_table(signed)
     groups = shared_keys(nodes)
     component = materialize(groups.select("node").distinct().withColumn("component", F.col("node")), "component")
     owners = nodes.join(component.select("node"), "node").select("node", F.col("least").alias("doc_id"), "n", "x", "s")
@@ -252,7 +262,6 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
             drop_table(done)
     lowest = component.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("reached"))
     reached = component.join(lowest, "component").select("node", "reached")
-    members = signed.select("doc_id", "n", "x", "s").join(nodes.select("n", "x", "s", "node", "least"), ["n", "x", "s"], "left")
-    out = members.join(reached, "node", "left")
+    out = members.join(nodes.select("n", "x", "s", "node", "least"), ["n", "x", "s"], "left").join(reached, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("reached", "least", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
