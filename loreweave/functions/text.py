@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once even where f uses it inside a lambda of its own."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The white-space separated words; null gives none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
@@ -71,3 +78,39 @@ def answer_words(text: Column) -> Column:
     """Words of an answer in lower case, without punctuation and articles, for comparing answers."""
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[!-/:-@\[-`{-~]", "")
     return F.filter(words(clean), lambda w: ~w.isin("a", "an", "the", "and"))
+
+
+# What questions say of times, in the order in which they are looked for: pattern, days (null: from the number) or days a unit, tolerance.
+RELATIVE_TIMES = [
+    (r"(\d+)\s+days?\s+ago", 1, 2, True),
+    (r"a\s+couple\s+(?:of\s+)?days?\s+ago", 2, 2, False),
+    (r"yesterday", 1, 1, False),
+    (r"a\s+week\s+ago", 7, 3, False),
+    (r"(\d+)\s+weeks?\s+ago", 7, 5, True),
+    (r"last\s+week", 7, 3, False),
+    (r"a\s+month\s+ago", 30, 7, False),
+    (r"(\d+)\s+months?\s+ago", 30, 10, True),
+    (r"last\s+month", 30, 7, False),
+    (r"last\s+year", 365, 30, False),
+    (r"a\s+year\s+ago", 365, 30, False),
+    (r"recently", 14, 14, False),
+]
+
+
+def relative_time(question: Column) -> Column:
+    """struct(days, tolerance) of the first kind of relative time that a question has; null without one."""
+    low = F.lower(question)
+    found = []
+    for pattern, days, tolerance, counted in RELATIVE_TIMES:
+        many = F.regexp_extract(low, pattern, 1).try_cast("int") * days if counted else F.lit(days)
+        found.append(F.when(low.rlike(pattern), F.struct(many.alias("days"), F.lit(tolerance).alias("tolerance"))))
+    return F.coalesce(*found)
+
+
+def character_estimate(text: Column) -> Column:
+    """Tokens as a quarter of the characters."""
+    return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).cast("bigint")
+
+
+def lowercase_words(text: Column, least: int = 3) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z]{{{least},}}"), 0)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.functions.text import bound
+
 BLANK = r"[ \t\r\f\x0B]*"
 
 
@@ -24,9 +26,8 @@ def longer(parts: Column, least: int) -> Column:
 
 def line_groups(text: Column, size: int = 25) -> Column:
     """Groups of so many lines, stripped."""
-    all_lines = lines(text)
-    starts = F.sequence(F.lit(1), F.size(all_lines), F.lit(size))
-    return F.transform(starts, lambda i: strip(F.array_join(F.slice(all_lines, i, F.lit(size)), "\n")))
+    starts = lambda rows: F.sequence(F.lit(1), F.size(rows), F.lit(size))
+    return bound(lines(text), lambda rows: F.transform(starts(rows), lambda i: strip(F.array_join(F.slice(rows, i, F.lit(size)), "\n"))))
 
 
 def paragraphs(text: Column, least: int = 30) -> Column:

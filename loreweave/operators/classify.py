@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import distinct_hits
@@ -91,3 +91,24 @@ def resolve(kind: Column, text: Column, scores: dict[str, Column], positive: lis
         F.when(problem & done & feeling & glad, "emotional").when(problem & done, "milestone")
         .when(problem & glad & milestone, "milestone").when(problem & glad & feeling, "emotional").otherwise(kind)
     )
+
+
+def memories(docs: DataFrame, segments: Column, markers: dict[str, list[str]], glad: list[str], sad: list[str], solved: list[str], least: float = 0.3, key: str = "id") -> DataFrame:
+    """key, chunk_index, kind, confidence, content of the typed memories among the segments of docs, one row each, numbered as they are kept."""
+    rows = docs.select(key, F.posexplode(segments).alias("place", "content"))
+    rows = rows.withColumn("m", memory(F.col("content"), markers, least)).filter("m is not null")
+    found = dict(memory_scores(prose(F.col("content")), markers))
+    kind = resolve(F.col("m.kind"), prose(F.col("content")), found, glad, sad, solved)
+    number = F.row_number().over(Window.partitionBy(key).orderBy("place")) - 1
+    return rows.select(key, number.alias("chunk_index"), kind.alias("kind"), F.col("m.confidence").alias("confidence"), "content")
+
+
+def first_rule(text: Column, rules: list[tuple[str, int, list[str]]], other: str = "general") -> Column:
+    """The facet of the first of the ordered rules(facet, least, signals) of which the lower-cased text has `least` distinct signals."""
+    return F.coalesce(*[F.when(distinct_hits(text, signals) >= least, F.lit(facet)) for facet, least, signals in rules], F.lit(other))
+
+
+def question_facets(question: Column, rules: list[tuple[list[str], list[str]]], other: str = "general") -> Column:
+    """The facets, most likely first, of the first of the ordered rules(facets, signals) of which the question has a signal, and `other` after them."""
+    each = [F.when(distinct_hits(question, signals) >= 1, F.array(*map(F.lit, [*facets, other]))) for facets, signals in rules]
+    return F.coalesce(*each, F.array(F.lit(other)))

@@ -19,6 +19,38 @@ def overlap(text: Column, keywords: list[str]) -> Column:
     return sum(hits[1:], hits[0]) / F.lit(float(len(kept)))
 
 
+def share(text: Column, parts: Column) -> Column:
+    """Share of an array of keywords, phrases or names (repeats counted) that the lower-cased text contains; 0 without any."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    kept = F.filter(parts, lambda p: p != "")
+    hits = F.size(F.filter(kept, lambda p: low.contains(F.lower(p))))
+    return F.when(F.size(kept) > 0, hits / F.size(kept)).otherwise(F.lit(0.0))
+
+
+def keywords(question: Column, stop: list[str] | None = None) -> Column:
+    """Lower-cased words of three letters or more, repeats kept, without stop words."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit("[a-z]{3,}"), 0)
+    return F.filter(found, lambda w: ~w.isin(stop or [""]))
+
+
+def without_names(words: Column, names: Column) -> Column:
+    """Keywords that are no part of the names: what a question says of its people."""
+    low = F.transform(names, F.lower)
+    return F.filter(words, lambda w: ~F.array_contains(low, w))
+
+
+def refers_to_answer(question: Column, phrases: list[str]) -> Column:
+    """A question about what the assistant said before, by the phrases it has."""
+    return F.coalesce(*[F.when(F.lower(question).contains(p), True) for p in phrases], F.lit(False))
+
+
+def facet_boost(facet: Column, wanted: Column, validated: Column, general: str = "general") -> Column:
+    """What the facets of a question, the first one above all, add to a document's, and the first pass to what it found."""
+    primary = F.get(wanted, F.lit(0))
+    keep = F.when((facet == primary) & (primary != general), 0.75).when(F.array_contains(wanted, facet), 0.9).otherwise(1.0)
+    return 1 - keep * F.when(validated, 0.85).otherwise(1.0)
+
+
 def day_boost(days_off: Column, tolerance: int, most: float = 0.40) -> Column:
     """`most` within the tolerance, falling to 0 at three times it."""
     tol = float(max(tolerance, 1))
@@ -57,9 +89,22 @@ def promote(ranked: DataFrame, picks: DataFrame) -> DataFrame:
     return flagged.withColumn("rank", F.row_number().over(order)).drop("picked")
 
 
-def route(sections: DataFrame, text: Column, keywords: list[str], most: int) -> DataFrame:
-    """The `most` sections whose text overlaps the keywords best; all of them if none overlaps."""
-    scored = sections.withColumn("overlap", overlap(text, keywords))
-    best = scored.agg(F.max("overlap").alias("best"))
-    ranks = F.row_number().over(Window.orderBy(F.desc("overlap"), F.desc("section")))
-    return scored.join(F.broadcast(best)).withColumn("place", ranks).filter((F.col("best") == 0) | (F.col("place") <= most)).drop("best", "place")
+def sessions_only(ranked: DataFrame) -> DataFrame:
+    """query_id, session, rank by the first hit of each session; later hits of a session are left out."""
+    first = ranked.groupBy("query_id", "session").agg(F.min("rank").alias("best"))
+    return first.select("query_id", "session", F.row_number().over(Window.partitionBy("query_id").orderBy("best")).alias("rank"))
+
+
+def routed(sections: DataFrame, text: Column, parts: Column, most: Column) -> DataFrame:
+    """sections(query_id, section, ...) with `overlap`: of each query the first `most` by overlap, the greatest name first on a tie."""
+    scored = sections.withColumn("overlap", share(text, parts))
+    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.desc("section"))
+    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
+
+
+def rooms(sections: DataFrame, text: Column, parts: Column, most: int = 3) -> DataFrame:
+    """As routed(), but all sections of a query of which none overlaps."""
+    scored = sections.withColumn("overlap", share(text, parts))
+    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.desc("section"))
+    best = F.max("overlap").over(Window.partitionBy("query_id"))
+    return scored.withColumn("place", F.row_number().over(order)).withColumn("best", best).filter((F.col("best") == 0) | (F.col("place") <= most)).drop("place", "best")

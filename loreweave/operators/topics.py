@@ -32,14 +32,39 @@ def bridges(node_rows: DataFrame, domain_a: str | None = None, domain_b: str | N
 
 
 def traverse(node_rows: DataFrame, start: str, max_hops: int = 2, limit: int = 50) -> DataFrame:
-    """topic, hop, n of what shared domains reach from start, nearest first. A topic's hop is the least one."""
-    exploded = node_rows.select("topic", "n", F.explode("domains").alias("domain"))
-    seen = node_rows.filter(F.col("topic") == start).select("topic", F.lit(0).alias("hop"), "n")
+    """topic, hop, n, connected_via of what shared domains reach from start, nearest first. A topic's hop is the least one.
+
+    connected_via are the domains that a topic shares with the one it was reached from, the least by name of those
+    one hop nearer; null for the start. Each hop joins the frontier with the topics not seen yet on their domains.
+    """
+    exploded = node_rows.select("topic", F.explode("domains").alias("domain"))
+    seen = node_rows.filter(F.col("topic") == start).select("topic", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"))
     for hop in range(1, max_hops + 1):
-        domains = exploded.join(seen.select("topic"), "topic", "left_semi").select("domain").distinct()
-        reached = exploded.join(domains, "domain", "left_semi").select("topic", F.lit(hop).alias("hop"), "n").distinct()
-        seen = seen.unionByName(reached).groupBy("topic", "n").agg(F.min("hop").alias("hop")).select("topic", "hop", "n")
-    return seen.orderBy("hop", F.desc("n"), "topic").limit(limit)
+        frontier = exploded.join(seen.filter(F.col("hop") == hop - 1).select("topic"), "topic", "left_semi").groupBy("domain").agg(F.min("topic").alias("parent"))
+        reached = exploded.join(frontier, "domain").groupBy("topic").agg(F.min("parent").alias("parent"))
+        new = reached.join(seen.select("topic"), "topic", "left_anti")
+        seen = seen.unionByName(new.select("topic", F.lit(hop).alias("hop"), "parent"))
+    of_parent = node_rows.select(F.col("topic").alias("parent"), F.col("domains").alias("parent_domains"))
+    rows = seen.join(node_rows.select("topic", "n", "domains"), "topic").join(of_parent, "parent", "left")
+    shared = F.array_sort(F.array_intersect("domains", "parent_domains"))
+    return rows.select("topic", "hop", "n", shared.alias("connected_via")).orderBy("hop", F.desc("n"), "topic").limit(limit)
+
+
+def stats(node_rows: DataFrame) -> DataFrame:
+    """topics, bridges and edges of the graph, one row."""
+    size = F.size("domains")
+    pairs = (size * (size - 1) / 2).cast("long") * F.greatest(F.size("facets"), F.lit(1))
+    return node_rows.agg(F.count("*").alias("topics"), F.count_if(size >= 2).alias("bridges"), F.coalesce(F.sum(pairs), F.lit(0)).alias("edges"))
+
+
+def topics_by_domain(node_rows: DataFrame) -> DataFrame:
+    """domain, topics: how many topics each domain has."""
+    return node_rows.select(F.explode("domains").alias("domain")).groupBy("domain").agg(F.count("*").alias("topics"))
+
+
+def widest(node_rows: DataFrame, limit: int = 10) -> DataFrame:
+    """The bridges of the most domains."""
+    return node_rows.filter(F.size("domains") >= 2).select("topic", F.size("domains").alias("n_domains"), "n").orderBy(F.desc("n_domains"), F.desc("n"), "topic").limit(limit)
 
 
 def suggest(node_rows: DataFrame, query: str, limit: int = 5) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +31,87 @@ def knn(rows: DataFrame, query: DataFrame, k: int, id_col: str = "vec_id", vecto
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), id_col))).withColumn("similarity", F.round("s", 3))
 
 
+#: Queries that are broadcast at once; more of them take further passes over the rows.
+BLOCK_QUERIES = 2_000
+
+
+def similarity(distance: Column, metric: str = "cosine") -> Column:
+    """A similarity of a distance: 1 - d of cosine distances, 1 - d / 2 of squared L2 ones between unit vectors, never below 0 for the latter."""
+    return {"cosine": 1 - distance, "l2sq": F.greatest(F.lit(0.0), 1 - distance / 2)}[metric]
+
+
+def l2sq(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance; null where the dimensions differ."""
+    parts = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.when(F.size(a) == F.size(b), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))
+
+
+def _best(k: int):
+    """A function of Arrow batches: each task keeps, for each query of a block, its k best rows, by one matrix product a batch."""
+
+    def of(block: tuple[list, np.ndarray]):
+        ids, matrix = block
+
+        def first(rows: pd.DataFrame) -> pd.DataFrame:
+            return rows.sort_values(["query", "s", "row_id"], ascending=[True, False, True]).groupby("query").head(k + 1)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for batch in batches:
+                for vector_size, part in batch.groupby(batch["v"].map(len)):
+                    if vector_size == matrix.shape[1]:
+                        rows = np.stack(part["v"].to_numpy()).astype(np.float64)
+                        norm = np.sqrt((rows * rows).sum(axis=1))
+                        s = matrix @ np.where(norm[:, None] >= 1e-9, rows / np.maximum(norm, 1e-300)[:, None], 0.0).T
+                    else:
+                        s = np.zeros((len(ids), len(part)))
+                    s = np.round(s, 12)  # equal vectors stay equal, whatever the order of the sums
+                    least = np.partition(s, max(0, s.shape[1] - k - 1), axis=1)[:, max(0, s.shape[1] - k - 1)]
+                    query, at = np.nonzero(s >= least[:, None])
+                    found = pd.DataFrame({"query": query, "row_id": part["row_id"].to_numpy()[at], "s": s[query, at]})
+                    best = found if best is None else pd.concat([best, found])
+                if best is not None and len(best) > 20 * (k + 1) * len(ids):
+                    best = first(best)
+            if best is not None:
+                best = first(best)
+                yield pd.DataFrame({"query_id": [ids[i] for i in best["query"]], "row_id": best["row_id"].to_numpy(), "s": best["s"].to_numpy()})
+
+        return run
+
+    return of
+
+
 def knn_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k rows most similar to each stated query(query_id, q, ...), itself left out; the queries are few and stated."""
-    scored = rows.join(queries, F.col(id_col) != F.col("query_id")).withColumn("s", cosine(F.col(vector), F.col("q")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), id_col))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("similarity", F.round("s", 3))
+    """The k rows most similar to each stated query(query_id, q, ...), itself left out, with s, rank and similarity.
+
+    Queries go to the tasks in blocks of BLOCK_QUERIES, with unit length; a task keeps the best k of its own rows for each, so
+    only k rows a query and task are shuffled, whatever the number of rows. Ties go to the smaller id. Vectors without length, and of another dimension than the query's, have similarity 0.
+    """
+    spark = rows.sparkSession
+    kept = rows.select(F.col(id_col).alias("row_id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, row_id {rows.schema[id_col].dataType.simpleString()}, s double"
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).orderBy("query_id").toLocalIterator(prefetchPartitions=True)
+    found, block = [], []
+
+    def add() -> None:
+        for size in sorted({len(v) for _, v in block}):
+            part = [(i, v) for i, v in block if len(v) == size]
+            matrix = np.array([v for _, v in part], np.float64)
+            norm = np.sqrt((matrix * matrix).sum(axis=1))
+            matrix = np.where(norm[:, None] >= 1e-9, matrix / np.maximum(norm, 1e-300)[:, None], 0.0)
+            found.append(kept.mapInPandas(_best(k)(([i for i, _ in part], matrix)), types))
+
+    for r in asked:
+        block.append((r["query_id"], r["q"] or []))
+        if len(block) == BLOCK_QUERIES:
+            add()
+            block = []
+    if block:
+        add()
+    if not found:
+        found = [spark.createDataFrame([], types)]
+    near = reduce(DataFrame.unionByName, found).filter("row_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "row_id"))
+    top = near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    out = top.join(queries, "query_id").join(rows.withColumnRenamed(id_col, "row_id"), "row_id").withColumnRenamed("row_id", id_col)
+    return out.withColumn("similarity", F.round("s", 3))

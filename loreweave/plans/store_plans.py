@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loreweave.operators import facts, retrieval_metrics, store, topics, transcripts, vectors
+from loreweave.operators import facts, store, topics, transcripts, vectors
 from loreweave.runtime import table
 
 
@@ -55,8 +55,6 @@ RANKED = """SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, hit, s FROM (
  FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE r <= 10"""
 NODES = f"""SELECT topic, list_sort(list(DISTINCT domain)) AS domains, count(*) AS n, list_sort(list_reverse_sort(list(DISTINCT date))[1:5]) AS dates
  FROM ({CHUNKS}) WHERE topic <> '' AND topic <> 'general' AND domain <> '' GROUP BY topic"""
-RECALL = f"""SELECT query_id, CAST(max(hit) AS DOUBLE) AS recall_any, round(CASE WHEN sum(hit) > 0 THEN sum(hit / log2(rank + 1)) /
-  list_sum(list_transform(range(1, CAST(sum(hit) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) ELSE 0.0 END, 6) AS ndcg FROM ({RANKED}) GROUP BY query_id"""
 MSG = "conversations"
 
 PLANS = {
@@ -65,7 +63,7 @@ PLANS = {
     "a3_topics_of_domain": (lambda s, d: store.where(chunks(s, d), "en").groupBy("topic").agg(F.count("*").alias("n")), f"SELECT topic, count(*) AS n FROM ({CHUNKS}) WHERE domain = 'en' GROUP BY 1"),
     "a4_a5_g1_topic_nodes": (lambda s, d: topics.nodes(chunks(s, d)).select("topic", F.array_join("domains", ",").alias("domains"), "n", F.array_join("dates", ",").alias("dates")), f"SELECT topic, array_to_string(domains, ',') AS domains, n, array_to_string(dates, ',') AS dates FROM ({NODES})"),
     "g1_j7_topic_edges": (lambda s, d: topics.edges(topics.nodes(chunks(s, d))), f"SELECT topic, a AS domain_a, b AS domain_b, '' AS facet, n FROM ({NODES}), unnest(domains) AS x(a), unnest(domains) AS y(b) WHERE a < b"),
-    "g2_traverse": (lambda s, d: topics.traverse(topics.nodes(chunks(s, d)), "src1", 2).withColumn("hop", F.col("hop").cast("int")), f"WITH n AS ({NODES}), h1 AS (SELECT DISTINCT b.topic FROM n a, n b WHERE a.topic = 'src1' AND list_has_any(a.domains, b.domains)), h2 AS (SELECT DISTINCT b.topic FROM n a JOIN h1 USING (topic), n b WHERE list_has_any(a.domains, b.domains)) SELECT topic, CAST(CASE WHEN topic = 'src1' THEN 0 WHEN topic IN (SELECT topic FROM h1) THEN 1 ELSE 2 END AS INTEGER) AS hop, n FROM n WHERE topic = 'src1' OR topic IN (SELECT topic FROM h1) OR topic IN (SELECT topic FROM h2) ORDER BY hop, n DESC, topic LIMIT 50"),
+    "g2_traverse": (lambda s, d: topics.traverse(topics.nodes(chunks(s, d)), "src1", 2).drop("connected_via"), f"WITH n AS ({NODES}), h1 AS (SELECT DISTINCT b.topic FROM n a, n b WHERE a.topic = 'src1' AND list_has_any(a.domains, b.domains)), h2 AS (SELECT DISTINCT b.topic FROM n a JOIN h1 USING (topic), n b WHERE list_has_any(a.domains, b.domains)) SELECT topic, CAST(CASE WHEN topic = 'src1' THEN 0 WHEN topic IN (SELECT topic FROM h1) THEN 1 ELSE 2 END AS INTEGER) AS hop, n FROM n WHERE topic = 'src1' OR topic IN (SELECT topic FROM h1) OR topic IN (SELECT topic FROM h2) ORDER BY hop, n DESC, topic LIMIT 50"),
     "g3_o4_bridges": (lambda s, d: topics.bridges(topics.nodes(chunks(s, d)), "de", "en").select("topic", "n"), f"SELECT topic, n FROM ({NODES}) WHERE len(domains) >= 2 AND list_contains(domains, 'de') AND list_contains(domains, 'en') ORDER BY n DESC, topic LIMIT 50"),
     "g5_suggest": (lambda s, d: topics.suggest(topics.nodes(chunks(s, d)), "src1-9"), f"SELECT topic, score FROM (SELECT topic, CASE WHEN contains(topic, 'src1-9') THEN 1.0::DOUBLE WHEN contains(topic, 'src1') OR contains(topic, '9') THEN 0.5::DOUBLE END AS score FROM ({NODES})) WHERE score IS NOT NULL ORDER BY score DESC, topic LIMIT 5"),
     "f1_s7_page": (lambda s, d: store.page(store.where(chunks(s, d), "en", "src3").select("id", "date"), 10, 5), f"SELECT id, date FROM ({CHUNKS}) WHERE domain = 'en' AND topic = 'src3' ORDER BY id LIMIT 10 OFFSET 5"),
@@ -92,6 +90,4 @@ PLANS = {
     "a15_human_messages": (lambda s, d: table(s, d, MSG).groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n")), "SELECT conv_id, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY 1"),
     "v3_w1_batched_knn": (lambda s, d: ranked(s, d).select("query_id", "rank", "vec_id", "similarity"), f"SELECT query_id, rank, vec_id, round(s, 3) AS similarity FROM ({RANKED})"),
     "v6_f6_near_duplicates": (lambda s, d: ranked(s, d).filter("rank <= 5 and similarity >= 0.4").select("query_id", "vec_id"), f"SELECT query_id, vec_id FROM ({RANKED}) WHERE rank <= 5 AND round(s, 3) >= 0.4"),
-    "m1_m2_recall_ndcg": (lambda s, d: retrieval_metrics.at_k(ranked(s, d), 10).withColumn("ndcg", F.round("ndcg", 6)), RECALL),
-    "m7_a13_distribution": (lambda s, d: retrieval_metrics.summary(retrieval_metrics.at_k(ranked(s, d), 10).withColumn("ndcg", F.round("ndcg", 6))).withColumn("ndcg", F.round("ndcg", 4)).withColumn("recall_any", F.round("recall_any", 4)), f"SELECT round(avg(recall_any), 4) AS recall_any, round(avg(ndcg), 4) AS ndcg, count(*) FILTER (ndcg >= 1) AS perfect, count(*) FILTER (ndcg > 0 AND ndcg < 1) AS partial, count(*) FILTER (ndcg = 0) AS zero FROM ({RECALL})"),
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loreweave.plans import store_plans, text_plans, vector_plans
+from loreweave.plans import eval_plans, graph_plans, language_plans, store_plans, text_plans, vector_plans
 
-_MODULES = (vector_plans, store_plans, text_plans)
+_MODULES = (vector_plans, store_plans, text_plans, graph_plans, eval_plans, language_plans)
 
 
 def queries() -> dict:

@@ -28,10 +28,10 @@ def as_text(content: object) -> str:
 
 
 def _objects(content: str) -> Iterator[dict]:
-    for line in content.splitlines():
+    for line in content.split("\n"):
         try:
             found = json.loads(line)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         if isinstance(found, dict):
             yield found
@@ -45,10 +45,16 @@ def _field(x: dict, name: str) -> dict:
     return x[name] if isinstance(x.get(name), dict) else {}
 
 
+def _named(x: dict, field: str, among: dict[str, str]) -> str | None:
+    """What a text field stands for; null for any other value."""
+    value = x.get(field)
+    return among.get(value) if isinstance(value, str) else None
+
+
 def typed_lines(content: str) -> list[Message]:
     """JSON lines with a type that names the role, and message.content."""
     kinds = {k: v for k, v in ROLES.items() if k != "ai"}
-    return [(kinds[o["type"]], as_text(_field(o, "message").get("content"))) for o in _objects(content) if o.get("type") in kinds]
+    return [(role, as_text(_field(o, "message").get("content"))) for o in _objects(content) if (role := _named(o, "type", kinds))]
 
 
 def event_lines(content: str) -> list[Message]:
@@ -57,7 +63,7 @@ def event_lines(content: str) -> list[Message]:
     if all(o.get("type") != "session_meta" for o in rows):
         return []
     loads = [_field(o, "payload") for o in rows if o.get("type") == "event_msg"]
-    return [(EVENTS[p["type"]], p["message"].strip()) for p in loads if p.get("type") in EVENTS and isinstance(p.get("message"), str)]
+    return [(role, p["message"].strip()) for p in loads if (role := _named(p, "type", EVENTS)) and isinstance(p.get("message"), str)]
 
 
 def flat(data: object) -> list[Message]:
@@ -67,20 +73,24 @@ def flat(data: object) -> list[Message]:
     items = _dicts(data)
     if items and isinstance(data, list) and data[0] is items[0] and "chat_messages" in items[0]:
         items = [m for talk in items for m in _dicts(talk.get("chat_messages"))]
-    return [(ROLES[m["role"]], as_text(m.get("content"))) for m in items if m.get("role") in ROLES]
+    return [(role, as_text(m.get("content"))) for m in items if (role := _named(m, "role", ROLES))]
 
 
 def tree(data: object) -> list[Message]:
     """A map of nodes: from the root (an empty one if there is one) along first children, each node once."""
-    nodes = _field(data, "mapping") if isinstance(data, dict) else {}
+    found = _field(data, "mapping") if isinstance(data, dict) else {}
+    nodes = {k: n for k, n in found.items() if isinstance(n, dict)}
     roots = sorted((k for k, n in nodes.items() if n.get("parent") is None), key=lambda k: nodes[k].get("message") is not None)
     at, seen, out = next(iter(roots), None), set(), []
     while at in nodes and at not in seen:
         seen.add(at)
-        said = nodes[at].get("message") or {}
-        parts = _field(said, "content").get("parts") or []
-        out.append((_field(said, "author").get("role"), " ".join(p for p in parts if isinstance(p, str) and p).strip()))
-        at = next(iter(nodes[at].get("children") or []), None)
+        said = _field(nodes[at], "message")
+        parts = _field(said, "content").get("parts")
+        words = [p for p in parts if isinstance(p, str) and p] if isinstance(parts, list) else []
+        out.append((_field(said, "author").get("role"), " ".join(words).strip()))
+        children = nodes[at].get("children")
+        first = children[0] if isinstance(children, list) and children else None
+        at = first if isinstance(first, str) else None
     return [m for m in out if m[0] in ("user", "assistant")]
 
 
@@ -89,7 +99,7 @@ def channel(data: object) -> list[Message]:
     roles, last, out = {}, "assistant", []
     for item in _dicts(data):
         who, text = item.get("user", item.get("username")), as_text(item.get("text"))
-        if item.get("type") == "message" and who and text:
+        if item.get("type") == "message" and isinstance(who, str) and who and text:
             last = roles.setdefault(who, "assistant" if last == "user" else "user")
             out.append((last, text))
     return out
@@ -99,19 +109,22 @@ def _parsed(reader: Callable[[object], list[Message]]) -> Callable[[str], list[M
     def read(content: str) -> list[Message]:
         try:
             return reader(json.loads(content))
-        except ValueError:
+        except (ValueError, RecursionError):
             return []
 
     return read
 
 
+#: A larger file is passed through as it is.
+MOST_CHARACTERS = 500 * 1024 * 1024
+
 #: In the order of precedence.
 FORMATS = (typed_lines, event_lines, _parsed(flat), _parsed(tree), _parsed(channel))
 
 
 def messages_of(content: str | None) -> list[Message] | None:
     """The messages of a chat export; None where the content is none, or is a transcript with three quoted lines already."""
-    if not content or sum(x.strip().startswith(">") for x in content.split("\n")) >= 3 or content.strip()[:1] not in ("{", "["):
+    if not content or len(content) > MOST_CHARACTERS or sum(x.strip().startswith(">") for x in content.split("\n")) >= 3 or content.strip()[:1] not in ("{", "["):
         return None
     for read in FORMATS:
         found = [m for m in read(content) if m[1]]
