@@ -40,6 +40,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def relabelled(component: DataFrame, links: DataFrame) -> DataFrame:
     """component(node, component) after links(a, b) between its nodes; only the components that they join are worked on."""
+    links = materialize(links, "new_links")
+    if links.isEmpty():
+        return component
     side = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))
     between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
     joined = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("joined"))

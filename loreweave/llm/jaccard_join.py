@@ -29,7 +29,7 @@ from loreweave.llm.words import WordHashes, mix, window_hashes
 from loreweave.runtime import drop_table, materialize
 
 #: Sets of a group that all others are compared with in the first round after the stars; four times as many in each later one.
-PIVOTS = 64
+PIVOTS = 256
 #: Rows whose sets and keys a Python worker holds at once.
 PART_ROWS = 256
 #: The bits of a key that name its band.
@@ -254,7 +254,7 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         pairs = named(open_groups, "a", "key", *FIELDS).join(named(pivots, "b", "key", *FIELDS), meet)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        tested = materialize(tested.unionByName(pairs), "pairs")
+        tested = tested.unionByName(pairs)
         component = relabelled(component, linked(pairs, sets, percent))
         # a pivot has met every set of its group that it could still be joined to
         groups = materialize(open_groups.select("key", "node").join(pivots.select("key", "node"), ["key", "node"], "left_anti"), "groups")

@@ -14,10 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.runtime import default_parallelism, materialize
+from loreweave.runtime import materialize
 
-#: A group of more than 1 / LARGE of all bytes is packed by itself; the others share BUNDLES bundles.
-LARGE, BUNDLES = 2_048, 4_096
+#: A group of more than 1 / LARGE of all bytes, a thousandth of one of 16 shards, is packed by itself; the others share BUNDLES bundles.
+LARGE, BUNDLES = 16_000, 16_384
+#: Rows of a piece of a shard, about, in which slots are numbered; pieces depend on the rows alone.
+PIECE_ROWS = 50_000
 
 
 @dataclass
@@ -168,7 +170,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = (
         F.unhex(F.md5(text.cast("binary"))).alias("group"), F.xxhash64(F.lit(1), *keep, text).alias("tie"),
     )
     narrow = materialize(narrow.withColumn("bundle", F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("int")), "shard")
-    total = narrow.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     groups = narrow.groupBy("group", "bundle").agg(F.sum("size").alias("bytes"))
     large = materialize(groups.filter(F.col("bytes") * LARGE > total), "large")
     bundles = narrow.join(F.broadcast(large.select("group")), "group", "left_anti").groupBy("bundle").agg(F.sum("size").alias("bytes"))
@@ -186,7 +188,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = (
         narrow.join(F.broadcast(own), F.col("group") == F.col("large_group"), "left")
         .join(F.broadcast(shared), F.col("bundle") == F.col("in_bundle"), "left")
         .withColumn("shard", F.coalesce("own_shard", "bundle_shard"))
-        .withColumn("piece", F.pmod(F.col("tie"), F.lit(max(16, 4 * default_parallelism(spark)))).cast("int"))
+        .withColumn("piece", F.pmod(F.col("tie"), F.lit(max(16, n_rows // (shards * PIECE_ROWS)))).cast("int"))
         .select(*keep, "size", "text_crc32", "shard", "piece", "tie")
     )
     counts = sharded.groupBy("shard", "piece").agg(F.count("*").alias("n"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.llm.labelled import SAMPLE_ROWS, fit_logistic, held_out, labelled_sample
+from loreweave.runtime import materialize
 
 # Letters of other scripts that look like Latin ones, and digits or signs that stand for letters.
 LOOKALIKES = {
@@ -83,7 +84,16 @@ class Matcher:
             if entry in self.lexicon.weights:
                 found.append((end - len(entry) + 1, end, self.lexicon.weights[entry]))
         if spans:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in spans)]
+            # one sweep: of the spans that begin at or before a match, the one that reaches furthest covers it or none does
+            spans.sort()
+            found.sort()
+            kept, furthest, i = [], -1, 0
+            for match in found:
+                while i < len(spans) and spans[i][0] <= match[0]:
+                    furthest, i = max(furthest, spans[i][1]), i + 1
+                if match[1] > furthest:
+                    kept.append(match)
+            found = kept
         return [(a, w) for a, _, w in found]
 
     def load(self, text: str | None) -> float:
@@ -103,8 +113,8 @@ class Matcher:
         folded, out = fold(text), set()
         for start, _ in self.hits(folded):
             end = folded.index(" ", start + 1)
-            before = folded[max(0, start - 60) : start].split(" ")[-1]
-            after = folded[end + 1 : end + 61].split(" ")[0]
+            before = folded[folded.rfind(" ", 0, start) + 1 : start]
+            after = folded[end + 1 : folded.find(" ", end + 1)] if end + 1 < len(folded) else ""
             if before:
                 out.add(f" {before}{folded[start:end]} ")
             if after:
@@ -160,7 +170,7 @@ def choose_entries(table: pd.DataFrame, n_clean: int, n_toxic: int, sure: float
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS) -> Lexicon:
     """Learn the lexicon from at most `rows` labelled documents outside the held-out fold (a documented bound)."""
-    sample = labelled_sample(docs, labels, "toxic", folds, held, rows)
+    sample = materialize(labelled_sample(docs, labels, "toxic", folds, held, rows), "sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     counts = sample.mapInPandas(candidate_counts, "term string, clean long, toxic long")
     counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
