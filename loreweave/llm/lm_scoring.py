@@ -20,26 +20,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.llm.gram_table import GramCounts, frame, head_values, least_of_head, tail_rows, text_parts
 from loreweave.llm.labelled import held_out
 from loreweave.runtime import materialize
 
-DEPTH = 3
+#: Bytes of context; a gram of them and the byte itself takes 56 bits.
+DEPTH = 6
 #: The byte that ends a text; UTF-8 has none like it.
 END = 0xFF
 #: Frequent grams whose values are broadcast at most; the values of the others are joined.
-HEAD_GRAMS = 2_000_000
+HEAD_GRAMS = 3_000_000
 #: Parts of the tree are dealt over so many buckets at least, and over more from so many grams a bucket on.
-BUCKETS, BUCKET_GRAMS = 64, 500_000
+BUCKETS, BUCKET_GRAMS = 32, 500_000
 #: Frequent words whose counts are broadcast at most; the counts of the others are joined.
 HEAD_WORDS = 200_000
 #: The token that ends a text, which no word is equal to.
 END_TOKEN = " "
+_HALF = np.log(2)
 
 
 def text_grams(text: bytes) -> np.ndarray:
     """A packed gram for each byte of a text and for its end: the DEPTH bytes before it and itself."""
-    data = np.frombuffer(bytes(DEPTH) + text + bytes([END]), np.uint8).astype(np.uint32)
-    return data[:-3] << np.uint32(24) | data[1:-2] << np.uint32(16) | data[2:-1] << np.uint32(8) | data[3:]
+    data = np.frombuffer(bytes(DEPTH) + text + bytes([END]), np.uint8)
+    out = np.zeros(len(text) + 1, np.uint64)
+    for i in range(DEPTH + 1):
+        out <<= np.uint64(8)
+        out |= data[i : len(text) + 1 + i]
+    return out
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -52,222 +59,194 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
-class GramTable:
-    """A value for each gram by open addressing with linear probing; at least half of the slots are free."""
-
-    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(8, (2 * len(grams)).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint32)
-        self.values = np.full(1 << self.bits, np.nan)
-        pending, slots = np.arange(len(grams)), self.home(grams)
-        while len(pending):
-            free = np.flatnonzero(np.isnan(self.values[slots]))
-            taken, at = np.unique(slots[free], return_index=True)
-            put = free[at]
-            self.keys[taken], self.values[taken] = grams[pending[put]], values[pending[put]]
-            pending, slots = np.delete(pending, put), (np.delete(slots, put) + 1) & self.mask
-
-    @property
-    def mask(self) -> int:
-        return (1 << self.bits) - 1
-
-    def home(self, grams: np.ndarray) -> np.ndarray:
-        return (grams * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)).astype(np.int64)
-
-    def get(self, grams: np.ndarray) -> np.ndarray:
-        """The value of each gram; NaN where there is none."""
-        slots = self.home(grams)
-        out = self.values[slots]
-        other = np.flatnonzero((self.keys[slots] != grams) & ~np.isnan(out))
-        slots = slots[other]
-        while len(other):
-            slots = (slots + 1) & self.mask
-            got = self.values[slots]
-            out[other] = got
-            on = (self.keys[slots] != grams[other]) & ~np.isnan(got)
-            other, slots = other[on], slots[on]
-        return out
-
-
-Levels = tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]
+_SMALL = 1 << 14
+_HALVES, _WHOLES = log_gamma(np.arange(_SMALL) + 0.5), log_gamma(np.arange(_SMALL) + 1.0)
 
 
 def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
 
+    def of(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+        out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+        large = np.flatnonzero(n >= _SMALL)
+        out[large] = log_gamma(n[large] + more)
+        return out
 
-class ContextTree:
-    """The trained mixture. Nodes of a depth are sorted keys context << 8 | bits so far, led by a 1.
+    return of(zeros, _HALVES, 0.5) + of(ones, _HALVES, 0.5) - of(zeros + ones, _WHOLES, 1.0) - np.log(np.pi)
+
+
+class Nodes:
+    """The nodes of one depth after k bits of a byte: sorted keys (context and those bits), estimates and weights."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, k: int) -> None:
+        prefix = grams >> np.uint64(8 - k)
+        change = np.append(True, prefix[1:] != prefix[:-1])
+        self.first = np.flatnonzero(change)
+        self.of = np.cumsum(change) - 1
+        self.keys = prefix[self.first]
+        bit = (grams >> np.uint64(7 - k) & np.uint64(1)).astype(np.float64)
+        self.ones = np.add.reduceat(counts * bit, self.first)
+        self.zeros = np.add.reduceat(counts, self.first) - self.ones
+        self.p1 = (self.ones + 0.5) / (self.zeros + self.ones + 1)  # the estimate of a 1 at this depth alone
+        self.total = kt_log(self.zeros, self.ones)
+        self.weight = np.ones(len(self.keys))  # of this depth against the deeper ones
+
+    def mix(self, below: Nodes, parent: np.ndarray) -> None:
+        """Weigh this depth against the next one, whose nodes have these parents."""
+        kt, children = self.total, np.bincount(parent, weights=below.total, minlength=len(self.keys))
+        self.total = np.logaddexp(kt, children) - _HALF
+        self.weight = np.exp(kt - _HALF - self.total)
+
+
+class Upper:
+    """The nodes of depths 0 and 1 of all training texts, by sorted keys context << 8 | bits so far, led by a 1."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> None:
+        self.levels = []
+        for shift in (0xFFFF, 0xFF):
+            own, at = np.unique(keys & shift, return_inverse=True)
+            zeros, ones, children = (np.bincount(at, weights=x) for x in (zeros, ones, children))
+            kt, keys = kt_log(zeros, ones), own
+            total = np.logaddexp(kt, children) - _HALF
+            self.levels.append((own, (ones + 0.5) / (zeros + ones + 1), np.exp(kt - _HALF - total)))
+            children = total
+
+    def find(self, depth: int, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each gram whether its node of this depth after k bits is known, its estimate and its weight."""
+        keys, p1, weight = self.levels[1 - depth]
+        byte, context = (grams & np.uint64(0xFF)).astype(np.int64), (grams >> np.uint64(8) & np.uint64(0xFF if depth else 0)).astype(np.int64)
+        key = context << 8 | 1 << k | byte >> (8 - k)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return keys[at] == key, p1[at], weight[at]
 
-    With `upper`, the levels of depths 0 and 1 of all training texts, grams can be
-    those of some parts of the tree; without `whole` only depths from 2 on are built.
-    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, upper: Levels | None = None, whole: bool = True) -> None:
-        byte, context = (grams & np.uint32(0xFF)).astype(np.int64), (grams >> np.uint32(8)).astype(np.int64)
-        self.keys: list[np.ndarray] = []
-        self.p1: list[np.ndarray] = []  # the estimate of a 1 at this depth alone
-        self.weight: list[np.ndarray] = []  # of this depth against the deeper ones
-        below = None
-        for d in range(DEPTH, -1 if whole and upper is None else 1, -1):
-            own = context & ((1 << (8 * d)) - 1)
-            node = np.concatenate([own << 8 | (1 << k | byte >> (8 - k)) for k in range(8)])
-            bit = np.concatenate([byte >> (7 - k) & 1 for k in range(8)])
-            keys, at = np.unique(node, return_inverse=True)
-            each = np.tile(counts, 8)
-            ones = np.bincount(at, weights=bit * each, minlength=len(keys))
-            zeros = np.bincount(at, weights=(1 - bit) * each, minlength=len(keys))
-            below = self.add(d, keys, zeros, ones, below)
-        #: the nodes of the least depth built: keys, zeros, ones and ln of the mixed probability
-        self.top = (keys, zeros, ones, below[1])
-        if upper is not None:
-            self.keys, self.p1, self.weight = (u + own for u, own in zip(upper, (self.keys, self.p1, self.weight), strict=True))
-
-    def add(self, d: int, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-        """Put the level of depth d before the deeper ones."""
-        kt = kt_log(zeros, ones)
-        if below is None:
-            weight, total = np.ones(len(keys)), kt
-        else:
-            deep_keys, deep_total = below
-            parent = (deep_keys >> 8 & ((1 << (8 * d)) - 1)) << 8 | deep_keys & 0xFF
-            children = np.bincount(np.searchsorted(keys, parent), weights=deep_total, minlength=len(keys))
-            total = np.logaddexp(kt, children) - np.log(2)
-            weight = np.exp(kt - np.log(2) - total)
-        self.keys.insert(0, keys)
-        self.p1.insert(0, (ones + 0.5) / (zeros + ones + 1))
-        self.weight.insert(0, weight)
-        return keys, total
-
-    @staticmethod
-    def upper(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> Levels:
-        """The levels of depths 1 and 0 from all sorted nodes of depth 1 and the sums of what their children's totals are."""
-        tree = ContextTree.__new__(ContextTree)
-        tree.keys, tree.p1, tree.weight = [], [], []
-        below = tree.add(1, keys, zeros, ones, (keys, children))
-        roots, at = np.unique(keys & 0xFF, return_inverse=True)
-        tree.add(0, roots, np.bincount(at, weights=zeros), np.bincount(at, weights=ones), below)
-        return tree.keys, tree.p1, tree.weight
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 P(byte | its context) of each gram; a context that training lacks defers to the shorter one."""
-        byte, context = (grams & np.uint32(0xFF)).astype(np.int64), (grams >> np.uint32(8)).astype(np.int64)
+class ContextTree:
+    """Depths 2 to DEPTH of the trained mixture over sorted distinct grams, which may be those of some parts of the tree."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        at = np.argsort(grams)
+        self.grams = grams[at]
+        own, n = self.grams, counts[at].astype(np.float64)
+        self.up: dict[int, np.ndarray] = {}  # where a gram of the next depth lies in this one
+        self.nodes: dict[int, list[Nodes]] = {}
+        for d in range(DEPTH, 1, -1):
+            if d < DEPTH:
+                own, self.up[d] = np.unique(own & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+                n = np.bincount(self.up[d], weights=n)
+            self.nodes[d] = [Nodes(own, n, k) for k in range(8)] if len(own) else []
+            if d < DEPTH:
+                for here, below in zip(self.nodes[d], self.nodes[d + 1], strict=True):
+                    here.mix(below, here.of[self.up[d][below.first]])
+        self.pairs = own  # the grams of depth 2
+
+    def tops(self) -> pd.DataFrame:
+        """What the nodes of depth 1 need of this part: node, zeros, ones and the sum of ln of its children's probabilities."""
+        parts = []
+        for k, nodes in enumerate(self.nodes[2]):
+            node = (nodes.keys >> np.uint64(k) & np.uint64(0xFF)).astype(np.int64) << 8 | 1 << k | (nodes.keys & np.uint64((1 << k) - 1)).astype(np.int64)
+            parts.append(pd.DataFrame({"node": node, "zeros": nodes.zeros, "ones": nodes.ones, "total": nodes.total}))
+        return pd.concat(parts).groupby("node", as_index=False).sum() if parts else pd.DataFrame({"node": [], "zeros": [], "ones": [], "total": []})
+
+    def own_log10(self, upper: Upper) -> np.ndarray:
+        """log10 P(byte | its context) of each of the tree's grams, in their order."""
+        out = np.zeros(len(self.grams))
+        for k in range(8):
+            at = np.arange(len(self.grams))
+            p = self.nodes[DEPTH][k].p1[self.nodes[DEPTH][k].of]
+            for d in range(DEPTH - 1, 1, -1):
+                at = self.up[d][at]
+                nodes = self.nodes[d][k]
+                node = nodes.of[at]
+                p = nodes.weight[node] * nodes.p1[node] + (1 - nodes.weight[node]) * p
+            for d in (1, 0):
+                _, p1, weight = upper.find(d, self.pairs, k)
+                p = weight[at] * p1[at] + (1 - weight[at]) * p
+            one = self.grams >> np.uint64(7 - k) & np.uint64(1)
+            out += np.log10(np.where(one == 1, p, 1 - p))
+        return out
+
+    def other_log10(self, grams: np.ndarray, upper: Upper) -> np.ndarray:
+        """log10 P of any grams; a context that training lacks defers to the shorter one."""
         out = np.zeros(len(grams))
         for k in range(8):
-            bits = 1 << k | byte >> (8 - k)
-            p = np.full(len(grams), 0.5)
-            found = np.ones(len(grams), bool)
-            ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for d in range(DEPTH + 1):
-                if not len(self.keys[d]):
-                    break
-                key = (context & ((1 << (8 * d)) - 1)) << 8 | bits
-                at = np.minimum(np.searchsorted(self.keys[d], key), len(self.keys[d]) - 1)
-                found = found & (self.keys[d][at] == key)
-                ends.append((found, self.p1[d][at], self.weight[d][at]))
-            deeper = np.zeros(len(grams), bool)
-            for here, p1, weight in reversed(ends):
+            p, deeper = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
+            for d in range(DEPTH, -1, -1):
+                if d < 2:
+                    here, p1, weight = upper.find(d, grams, k)
+                elif not self.nodes[d]:
+                    continue
+                else:
+                    nodes = self.nodes[d][k]
+                    key = (grams & np.uint64((1 << 8 * (d + 1)) - 1)) >> np.uint64(8 - k)
+                    at = np.minimum(np.searchsorted(nodes.keys, key), len(nodes.keys) - 1)
+                    here, p1, weight = nodes.keys[at] == key, nodes.p1[at], nodes.weight[at]
                 p = np.where(here, np.where(deeper, weight * p1 + (1 - weight) * p, p1), p)
-                deeper = deeper | here
-            one = byte >> (7 - k) & 1
+                deeper |= here
+            one = grams >> np.uint64(7 - k) & np.uint64(1)
             out += np.log10(np.where(one == 1, p, 1 - p))
         return out
 
-
-class HeadValues:
-    """log10 P of the frequent grams."""
-
-    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
-        self.grams, self.values = grams, values
-        self.table: GramTable | None = None  # each worker builds its own, which costs less than sending it
-
-    def text_log10(self, texts: list[bytes]) -> tuple[list[float], list[list[dict]]]:
-        """log10 P of the frequent grams of whole texts with their ends, and the other grams of each with their numbers."""
-        grams = [text_grams(t) for t in texts]
-        starts = np.cumsum([0, *map(len, grams)])[:-1]
-        flat = np.concatenate(grams)
-        if self.table is None:
-            self.table = GramTable(self.grams, self.values)
-        got = self.table.get(flat)
-        missing = np.flatnonzero(np.isnan(got))
-        got[missing] = 0
-        rest: list[list[dict]] = [[] for _ in texts]
-        if len(missing):
-            text = np.searchsorted(starts, missing, "right") - 1
-            pair, n = np.unique(text.astype(np.uint64) << np.uint64(32) | flat[missing], return_counts=True)
-            for i, gram, times in zip((pair >> np.uint64(32)).tolist(), (pair & np.uint64(0xFFFFFFFF)).tolist(), n.tolist(), strict=True):
-                rest[i].append({"gram": gram, "n": times})
-        return np.add.reduceat(got, starts).tolist(), rest
+    def log10(self, grams: np.ndarray, upper: Upper) -> np.ndarray:
+        if not len(self.grams):
+            return self.other_log10(grams, upper)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        known = self.grams[at] == grams
+        out = self.own_log10(upper)[at]
+        out[~known] = self.other_log10(grams[~known], upper)
+        return out
 
 
 def packed(grams: pd.Series) -> np.ndarray:
-    return grams.to_numpy(np.int64).astype(np.uint32)
+    return grams.to_numpy(np.int64).view(np.uint64)
 
 
-def upper_levels(bucketed: DataFrame) -> Levels:
-    """The levels of depths 0 and 1 of all grams, from the parts of the tree below them."""
+def tree_of(part: pd.DataFrame) -> ContextTree:
+    return ContextTree(packed(part["gram"]), part["n"].to_numpy(np.float64))
 
-    def tops(part: pd.DataFrame) -> pd.DataFrame:
-        keys, zeros, ones, total = ContextTree(packed(part["gram"]), part["n"].to_numpy(np.float64), whole=False).top
-        parent, at = np.unique((keys >> 8 & 0xFF) << 8 | keys & 0xFF, return_inverse=True)
-        return pd.DataFrame({"node": parent, "zeros": np.bincount(at, weights=zeros), "ones": np.bincount(at, weights=ones), "total": np.bincount(at, weights=total)})
 
-    found = bucketed.groupBy("bucket").applyInPandas(tops, "node long, zeros double, ones double, total double").groupBy("node")
+def upper_levels(bucketed: DataFrame) -> Upper:
+    """Depths 0 and 1 of all grams, from the parts of the tree below them."""
+    found = bucketed.groupBy("bucket").applyInPandas(lambda part: tree_of(part).tops(), "node long, zeros double, ones double, total double").groupBy("node")
     ordered = F.aggregate(F.array_sort(F.collect_list("total")), F.lit(0.0), lambda x, y: x + y)  # the same sum in every run
     nodes = found.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), ordered.alias("total")).toPandas().sort_values("node")
-    return ContextTree.upper(*(nodes[c].to_numpy() for c in ("node", "zeros", "ones", "total")))
+    return Upper(*(nodes[c].to_numpy() for c in ("node", "zeros", "ones", "total")))
 
 
-def gram_values(bucketed: DataFrame, upper: Levels, wanted: DataFrame | None = None) -> DataFrame:
+def gram_values(bucketed: DataFrame, upper: Upper, wanted: DataFrame | None = None) -> DataFrame:
     """gram, n and value (log10 P) of every gram of bucketed, or gram and value of those of wanted, which has the same columns."""
     shared = bucketed.sparkSession.sparkContext.broadcast(upper)
 
     def own(part: pd.DataFrame) -> pd.DataFrame:
-        grams = packed(part["gram"])
-        return pd.DataFrame({"gram": part["gram"], "n": part["n"], "value": ContextTree(grams, part["n"].to_numpy(np.float64), shared.value).log10(grams)})
+        part = part.sort_values("gram")
+        return pd.DataFrame({"gram": part["gram"], "n": part["n"], "value": tree_of(part).own_log10(shared.value)})
 
     def other(part: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        tree = ContextTree(packed(part["gram"]), part["n"].to_numpy(np.float64), shared.value)
-        return pd.DataFrame({"gram": want["gram"], "value": tree.log10(packed(want["gram"]))})
+        return pd.DataFrame({"gram": want["gram"], "value": tree_of(part).log10(packed(want["gram"]), shared.value)})
 
     if wanted is None:
         return bucketed.groupBy("bucket").applyInPandas(own, "gram long, n long, value double")
     return bucketed.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInPandas(other, "gram long, value double")
 
 
-def least_of_head(counts: DataFrame, most: int) -> int:
-    """The least n for which counts(n) has no more than `most` rows of n or over."""
-    least, taken = 1 << 62, 0
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        if taken + r["count"] > most:
-            break
-        least, taken = r["n"], taken + r["count"]
-    return least
-
-
-def parts(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that have about so many characters together."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > most:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def raw(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
 def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = GramCounts()
+
+    def sent() -> Iterator[pd.DataFrame]:
+        grams, n = counts.merged()
+        for i in range(0, len(grams), 500_000):
+            yield pd.DataFrame({"gram": grams[i : i + 500_000].view(np.int64), "n": n[i : i + 500_000]})
+
     for batch in batches:
         texts = [t or "" for t in batch["text"]]
-        for a, b in parts(texts, 8_000_000):
-            grams, n = np.unique(np.concatenate([text_grams(raw(t)) for t in texts[a:b]]), return_counts=True)
-            yield pd.DataFrame({"gram": grams.astype(np.int64), "n": n.astype(np.int64)})
+        for a, b in text_parts(texts, 8_000_000):
+            if counts.add(np.concatenate([text_grams(raw(t)) for t in texts[a:b]])):
+                yield from sent()
+                counts.__init__()
+    yield from sent()
 
 
 def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,7 +267,7 @@ def word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush(counts)
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<struct<word:string,n:long>>, tail_grams array<struct<gram:long,n:long>>"
+SCORED = "n_tokens long, n_bytes long, head_known long, head_base double, score double, words array<struct<word:string,n:long>>, tail array<long>, tail_n array<long>"
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFrame | None = None) -> DataFrame:
@@ -296,74 +275,84 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFram
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (the
     unigram log10 probability of the lower-cased words and the end), score (the
-    context tree's log10 probability of the text) and bits_per_byte. Training
+    context tree's log10 probability of the text) and bits_per_byte (the code
+    length of the text and its end over their number of bytes). Training
     texts are the rows of docs whose fold is not held out, or `training`.
 
     Counts cover all training texts and are summed in Spark, and the model has
     all their grams at DEPTH, however many. The HEAD_GRAMS most frequent grams'
     values and the HEAD_WORDS most frequent words' counts are broadcast; a
     text's other grams and words are joined with tables that have a row a gram
-    or a word and so no hot key. A null or empty text is its end
-    alone; very long texts are scored in whole; repeated rows are scored alike
-    and each trains; with no training text every byte has 1/256; an empty table
-    gives an empty table; other columns are not read.
+    or a word and so no hot key. doc_id may have any type and is never changed.
+    A null or empty text is its end alone; very long texts are scored in whole;
+    repeated rows are scored alike and each trains; with no training text every
+    byte has 1/256; an empty table gives an empty table; other columns are not
+    read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", folds, fold).alias("held_out"), "text")
+    texts = docs.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "text")
     train = (texts.filter(~F.col("held_out")) if training is None else training).select("text")
     words = materialize(train.mapInPandas(word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     grams = materialize(train.mapInPandas(gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     n_grams = grams.count()
-    upper = head_values = None
+    upper = head_grams = None
     bucket = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(max(BUCKETS, n_grams // BUCKET_GRAMS))).alias("bucket")
     bucketed = grams.select("gram", "n", bucket)
     if n_grams:
         upper = upper_levels(bucketed)
-        values = materialize(gram_values(bucketed, upper), "gram_values")
-        frequent = values.filter(F.col("n") >= least_of_head(values, HEAD_GRAMS)).select("gram", "value").toPandas()
-        head_values = HeadValues(packed(frequent["gram"]), frequent["value"].to_numpy(np.float64))
+        head_grams = head_values(materialize(gram_values(bucketed, upper), "gram_values"), HEAD_GRAMS)
 
     least = least_of_head(words, HEAD_WORDS)
     denominator = total + 0.5 * (distinct + 1)
     head = words.filter(F.col("n") >= least).toPandas()
     spark = docs.sparkSession
     logs = dict(zip(map(raw, head["word"]), np.log10((head["n"].to_numpy(float) + 0.5) / denominator).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((head_values, logs))
+    shared = spark.sparkContext.broadcast((head_grams, logs))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head_values, logs = shared.value
+    @F.pandas_udf(SCORED)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        head_grams, logs = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            for a, b in parts(texts):
+            texts = [t or "" for t in batch]
+            out: dict[str, list] = {x.split()[0]: [] for x in SCORED.split(", ")}
+            for a, b in text_parts(texts):
                 own = [raw(t) for t in texts[a:b]]
-                score, tail_grams = head_values.text_log10(own) if head_values else ([-(len(t) + 1) * np.log10(256) for t in own], [[]] * len(own))
-                rows = []
+                if head_grams:
+                    grams = [text_grams(t) for t in own]
+                    score, tail, tail_n = head_grams.sums(np.concatenate(grams), np.cumsum([0, *map(len, grams)])[:-1])
+                else:
+                    score, tail, tail_n = [-(len(t) + 1) * np.log10(256) for t in own], [np.empty(0, np.int64)] * len(own), [np.empty(0, np.int64)] * len(own)
                 for t in own:
                     tokens = t.lower().split()
                     tokens.append(END_TOKEN.encode())
                     got = [logs.get(w) for w in tokens]
                     known = [x for x in got if x is not None]
                     rest = Counter(w for w, x in zip(tokens, got, strict=True) if x is None) if len(known) < len(got) else {}
-                    rows.append((len(tokens), len(known), float(sum(known)), [{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in rest.items()]))
-                part = batch.iloc[a:b]
-                n_tokens, n_known, base, tail = zip(*rows, strict=True)
-                yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": n_tokens, "head_known": n_known, "head_base": base, "score": score, "tail": tail, "tail_grams": tail_grams})
-
-    table = materialize(texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(scored, SCORED), "scored")
-    rare = table.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
+                    for name, value in (("n_tokens", len(tokens)), ("n_bytes", len(t)), ("head_known", len(known)), ("head_base", float(sum(known)))):
+                        out[name].append(value)
+                    out["words"].append([{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in rest.items()])
+                out["score"] += list(map(float, score))
+                out["tail"] += tail
+                out["tail_n"] += tail_n
+            yield frame(out)
+
+    rows = texts.withColumn("g", scored("text")).select("doc_id", "held_out", "g.*").withColumn("row", F.monotonically_increasing_id())
+    table = materialize(rows, "scored")
+    rare = table.select("row", F.explode("words").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
     c = F.coalesce("n", F.lit(0))
     base = F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(denominator)))).alias("rest_base")
     known = F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rest_known")
-    out = table.drop("tail", "tail_grams").join(rare.join(words.filter(F.col("n") < least), "word", "left").groupBy("row").agg(base, known), "row", "left")
-    rest_score = F.lit(0.0)
+    out = table.drop("words", "tail", "tail_n").join(rare.join(words.filter(F.col("n") < least), "word", "left").groupBy("row").agg(base, known), "row", "left")
+    score = F.col("score")
     if n_grams:
-        used = table.select("row", F.explode("tail_grams").alias("t")).select("row", F.col("t.gram").alias("gram"), F.col("t.n").alias("times"))
+        used = tail_rows(table)
         wanted = used.select("gram").distinct().select("gram", bucket)
         priced = used.join(gram_values(bucketed, upper, wanted), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("rest_score"))
-        out, rest_score = out.join(priced, "row", "left"), F.coalesce("rest_score", F.lit(0.0))
+        out, score = out.join(priced, "row", "left"), F.col("score") + F.coalesce("rest_score", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"), (F.col("score") + rest_score).alias("score"),
+        (F.col("head_base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"), score.alias("score"),
+        (-score / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

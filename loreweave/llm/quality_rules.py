@@ -1,246 +1,133 @@
 """Quality rules: plain counts of a text, and a character n-gram perplexity held to a band per language.
 
-The language model is a modified Kneser-Ney model of character 4-grams inside
-words, one per language. Spark counts the 4-grams of all documents; the lower
-orders follow from the distinct 4-grams (continuation counts), so one count is
-enough. The model is a set of sorted key arrays that are searched by bisection.
-A word's probability does not depend on its neighbours, so each worker scores a
-word once. Where the models are too large to broadcast, the same model is a set
-of Spark tables: they score each distinct word once, the scores of frequent
-words are broadcast and those of the others joined. Bands come from the quartiles of all documents of a language.
+The language model is a modified Kneser-Ney model of running character n-grams
+of order ORDER, so it sees across the ends of words, one for each language; a
+document is held against the model of its own language. Spark counts the
+n-grams of all documents; the lower orders follow from the distinct ones
+(continuation counts), level by level as tables. As every document is counted,
+the probability of each of its n-grams stands in one table, whose frequent rows
+are broadcast as a hash array and whose others are joined. Bands come from the
+quartiles of all documents of a language.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.lm_scoring import least_of_head
-from loreweave.llm.words import Interner, WordHashes, ascii_words, window_hashes
+from loreweave.llm.gram_table import KEPT_GRAMS, HeadValues, frame, head_values, tail_rows, text_parts
+from loreweave.llm.words import WordHashes, ascii_words, mix, window_hashes
 from loreweave.runtime import materialize
 
-ORDER = 4
-#: Code points of a gram take 16 bits; others are one unknown character.
-PAD, END, UNKNOWN = 0xFFFE, 0xFFFF, 0xFFFD
-#: 4-grams of models that are broadcast; with more, tables score the words and the results are the same.
-MAX_ENTRIES = 6_000_000
-#: Frequent words whose scores are broadcast at most where tables score the words.
-HEAD_WORDS = 200_000
+ORDER = 5
+#: Characters before the first and after the last one of a text; what a text has of them is read as UNKNOWN.
+PAD, END, UNKNOWN = 2, 3, 0xFFFD
+#: Frequent n-grams whose probabilities are broadcast at most; those of the others are joined.
+HEAD_GRAMS = 2_000_000
 SYMBOLS = "#*$%&|<>"
 #: A run of one punctuation mark is read as a single mark, so that long runs don't look like easy text.
 _RUNS = re.compile(rb"([!-/:-@\[-`{-~])\1+")
-_PAD3, _END1 = chr(PAD).encode() * 3, chr(END).encode()
+_OWN = bytes.maketrans(bytes([0, PAD, END]), b"\x01\x01\x01")
+_FACTORS = mix(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed 4-grams of all words, one for each character and one for the word's end, and where each word starts."""
-    clean = [w.replace(_END1, b"?").replace(_PAD3[:3], b"?") if b"\xef\xbf" in w else w for w in words]
-    joined = _RUNS.sub(rb"\1", b"".join(x for w in clean for x in (_PAD3, w, _END1)))
-    codes = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    codes[codes > 0xFFFF] = UNKNOWN
-    keys = codes[:-3] << np.uint64(48) | codes[1:-2] << np.uint64(32) | codes[2:-1] << np.uint64(16) | codes[3:]
-    keys = keys[codes[3:] != PAD]
-    ends = np.flatnonzero((keys & np.uint64(0xFFFF)) == END)
-    return keys, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
 
-def counted_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """4-gram counts of a partition by language; words are counted first, so each is taken apart once."""
-
-    def flush(words: dict[str, Counter]) -> Iterator[pd.DataFrame]:
-        for lang, counts in words.items():
-            if not counts:
-                continue
-            items = list(counts)
-            keys, starts = word_grams(items)
-            each = np.repeat(np.fromiter(counts.values(), np.int64, len(items)), np.diff(np.append(starts, len(keys))))
-            grams, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, weights=each).astype(np.int64)
-            yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n})
-
-    words: dict[str, Counter] = {}
-    for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            words.setdefault(lang, Counter()).update(ascii_words(text))
-            if sum(map(len, words.values())) > 300_000:
-                yield from flush(words)
-                words = {}
-    yield from flush(words)
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities in sorted arrays."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        at = np.argsort(keys)
-        level = {ORDER: (keys[at], counts[at].astype(np.float64), counts[at].astype(np.float64))}
-        for n in range(ORDER - 1, 0, -1):
-            up, _, raw = level[n + 1]
-            low, inverse = np.unique(up & self.mask(n), return_inverse=True)
-            occurred = np.bincount(inverse, weights=raw)
-            # what starts a word has one possible left neighbour, so its own count is used
-            first = (low >> np.uint64(16 * (n - 1))) == PAD if n > 1 else np.zeros(len(low), bool)
-            level[n] = (low, np.where(first, occurred, np.bincount(inverse).astype(np.float64)), occurred)
-        self.floor = 1.0 / (len(level[1][0]) + 1)
-        self.keys: dict[int, np.ndarray] = {}
-        self.p: dict[int, np.ndarray] = {}
-        self.context: dict[int, np.ndarray] = {}
-        self.gamma: dict[int, np.ndarray] = {}
-        for n in range(1, ORDER + 1):
-            grams, c, _ = level[n]
-            discount = self.discounts(*(float((c == k).sum()) for k in (1, 2, 3, 4)))[np.minimum(c, 3).astype(np.int64)]
-            self.context[n], inverse = np.unique(grams >> np.uint64(16), return_inverse=True)
-            total = np.bincount(inverse, weights=c)
-            self.gamma[n] = np.bincount(inverse, weights=np.minimum(discount, c)) / total
-            lower = self.probability(grams & self.mask(n - 1), n - 1)
-            self.keys[n] = grams
-            self.p[n] = np.maximum(c - discount, 0) / total[inverse] + self.gamma[n][inverse] * lower
-
-    @staticmethod
-    def mask(n: int) -> np.uint64:
-        return np.uint64((1 << (16 * n)) - 1)
-
-    @staticmethod
-    def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
-        """D for counts 0, 1, 2, and 3 or more, from how many grams have counts 1 to 4; half a count where the corpus is too small to tell."""
-        if not (n1 and n2 and n3 and n4):
-            return np.array([0.0, 0.5, 0.5, 0.5])
-        y = n1 / (n1 + 2 * n2)
-        d = [k - (k + 1) * y * b / a for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        return np.array([0.0, *(float(np.clip(x, 0.05, k)) for k, x in enumerate(d, 1))])
-
-    def probability(self, grams: np.ndarray, n: int) -> np.ndarray:
-        if n == 0:
-            return np.full(len(grams), self.floor)
-        keys = self.keys[n]
-        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        out = self.p[n][at]
-        missing = np.flatnonzero(keys[at] != grams)
-        if len(missing):
-            rest = grams[missing]
-            context = rest >> np.uint64(16)
-            at = np.minimum(np.searchsorted(self.context[n], context), len(self.context[n]) - 1)
-            gamma = np.where(self.context[n][at] == context, self.gamma[n][at], 1.0)
-            out[missing] = gamma * self.probability(rest & self.mask(n - 1), n - 1)
-        return out
-
-    def word_scores(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The natural log probability of each word's characters and its end; keys and starts are of word_grams()."""
-        return np.add.reduceat(np.log(self.probability(keys, ORDER)), starts)
-
-
-def gram_logs(counts: DataFrame) -> DataFrame:
-    """gram, lang and value: the log probability of every 4-gram of counts(lang, gram, n) in the model of every language."""
-    spark = counts.sparkSession
-    low = lambda n: F.col("gram").bitwiseAND((1 << 16 * n) - 1)
-    before = F.shiftrightunsigned("gram", 16)
-    level = {ORDER: counts.select("lang", "gram", F.col("n").alias("c"), F.col("n").alias("raw"))}
-    for n in range(ORDER - 1, 0, -1):
-        found = level[n + 1].select("lang", low(n).alias("gram"), "raw").groupBy("lang", "gram").agg(F.count("*").alias("left"), F.sum("raw").alias("raw"))
-        first = F.shiftrightunsigned("gram", 16 * (n - 1)) == PAD if n > 1 else F.lit(False)
-        level[n] = materialize(found.select("lang", "gram", F.when(first, F.col("raw")).otherwise(F.col("left")).alias("c"), "raw"), f"level{n}")
-    langs = counts.select("lang").distinct()
-    floor = level[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("lower"))
-    own = every = None
-    for n in range(1, ORDER + 1):
-        many = [F.count_if(F.col("c") == k).cast("double") for k in (1, 2, 3, 4)]
-        rows = [(lang, KneserNey.discounts(*k)[1:].tolist()) for lang, *k in level[n].groupBy("lang").agg(*many).collect()]
-        grams = level[n].join(F.broadcast(spark.createDataFrame(rows, "lang string, d array<double>")), "lang")
-        grams = grams.select("lang", "gram", before.alias("context"), low(n - 1).alias("rest"), "c", F.element_at("d", F.least("c", F.lit(3)).cast("int")).alias("discount"))
-        contexts = grams.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(F.least("discount", "c")).alias("kept"))
-        contexts = materialize(contexts.select("lang", "context", "total", (F.col("kept") / F.col("total")).alias("gamma")), f"contexts{n}")
-        lower = lambda df, p: df.join(floor, "lang") if p is None else df.join(p.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower")), ["lang", "rest"])
-        p = F.greatest(F.col("c") - F.col("discount"), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("lower")
-        above = materialize(lower(grams.join(contexts, ["lang", "context"]), own).select("lang", "gram", p.alias("p")), f"own{n}")
-        asked = counts.select(low(n).alias("gram") if n < ORDER else "gram").distinct().crossJoin(F.broadcast(langs)).select("lang", "gram", before.alias("context"), low(n - 1).alias("rest"))
-        asked = lower(asked.join(above, ["lang", "gram"], "left").join(contexts.select("lang", "context", "gamma"), ["lang", "context"], "left"), every)
-        p = F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("lower"))
-        own, every = above, materialize(asked.select("lang", "gram", p.alias("p")), f"every{n}")
-    return every.select("gram", "lang", F.log("p").alias("value"))
-
-
-def counted_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def flush(counts: Counter) -> Iterator[pd.DataFrame]:
-        words = list(counts)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in part], "n": [counts[w] for w in part]})
-
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch["text"]:
-            counts.update(ascii_words(text))
-            if len(counts) > 300_000:
-                yield from flush(counts)
-                counts = Counter()
-    yield from flush(counts)
-
-
-def grams_of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i in range(0, len(batch), 5_000):
-            words = batch["word"].iloc[i : i + 5_000].to_numpy()
-            keys, starts = word_grams([w.encode("utf-8", "surrogatepass") for w in words])
-            at = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(keys))))
-            pairs = pd.DataFrame({"at": at, "gram": keys.view(np.int64)}).groupby(["at", "gram"], sort=False).size().reset_index(name="times")
-            yield pd.DataFrame({"word": words[pairs["at"]], "gram": pairs["gram"], "times": pairs["times"].astype(np.int64)})
-
-
-def word_table(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """word, n, score and units of every word of texts(text), whose 4-grams counts(lang, gram, n) has."""
-    words = materialize(texts.select("text").mapInPandas(counted_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    grams = words.select("word").mapInPandas(grams_of_words, "word string, gram long, times long")
-    sums = grams.join(gram_logs(counts), "gram").groupBy("word", "lang").agg(F.sum(F.col("times") * F.col("value")).alias("score"), F.sum("times").alias("units"))
-    best = sums.groupBy("word").agg(F.max("score").alias("score"), F.max("units").alias("units"))
-    return materialize(words.join(best, "word"), "word_scores")
-
-
-class KnownWords:
-    """Scores of the frequent words; NaN for the others."""
+def running_grams(words: list[list[bytes]], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit n-grams of texts (words in order, a space between), where each text's begin, and the characters of each.
 
-    def __init__(self, table: pd.DataFrame) -> None:
-        keys = (w.encode("utf-8", "surrogatepass") for w in table["word"])
-        self.of = dict(zip(keys, zip(table["score"].tolist(), table["units"].tolist(), strict=True), strict=True))
+    A text gives an n-gram for each character and one for its end.
+    """
+    plain = [_RUNS.sub(rb"\1", b" ".join(w).translate(_OWN)) for w in words]
+    joined = b"".join(x for t in plain for x in (bytes([PAD]) * (ORDER - 1), t, bytes([END])))
+    codes = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    size = len(codes) - ORDER + 1
+    grams = np.zeros(size, np.uint64)
+    for i in range(ORDER):
+        grams += codes[i : size + i] * _FACTORS[i]
+    inside = np.flatnonzero(codes[ORDER - 1 :] != PAD)
+    ends = np.flatnonzero(codes[ORDER - 1 :][inside] == END)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+    seeds = np.repeat(np.array([lang_seed(x) for x in langs], np.uint64), np.diff(np.append(starts, len(inside))))
+    return mix(grams[inside] ^ seeds), starts, np.lib.stride_tricks.sliding_window_view(codes, ORDER)[inside]
 
-    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [self.of.get(w, (np.nan, 0)) for w in words]
-        return np.array([x for x, _ in got], np.float64), np.array([u for _, u in got], np.float64)
 
+COUNTED = "lang string, gram string, key long, n long"
 
-class Models:
-    """The models of all languages; a word's score is that of the language that suits it best."""
 
-    def __init__(self, of: dict[str, KneserNey]) -> None:
-        self.of = of
+def counted_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """n-gram counts of a partition by language, in sorted arrays of bounded size."""
+    held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        keys, starts = word_grams(words)
-        return np.max([m.word_scores(keys, starts) for m in self.of.values()], axis=0), np.diff(np.append(starts, len(keys)))
+    def sent() -> Iterator[pd.DataFrame]:
+        for lang, (keys, n, chars) in held.items():
+            for i in range(0, len(keys), 200_000):
+                text = np.ascontiguousarray(chars[i : i + 200_000]).view(f"<U{ORDER}")[:, 0]
+                yield pd.DataFrame({"lang": lang, "gram": text.astype(object), "key": keys[i : i + 200_000].view(np.int64), "n": n[i : i + 200_000]})
+        held.clear()
 
+    for batch in batches:
+        for lang, part in batch.groupby("lang"):
+            texts = [t or "" for t in part["text"]]
+            for a, b in text_parts(texts, 4_000_000):
+                grams, _, chars = running_grams([ascii_words(t) for t in texts[a:b]], [lang] * (b - a))
+                keys, first, n = np.unique(grams, return_index=True, return_counts=True)
+                chars = chars[first]
+                if lang in held:
+                    old = held[lang]
+                    chars = np.concatenate([old[2], chars])
+                    keys, first, at = np.unique(np.concatenate([old[0], keys]), return_index=True, return_inverse=True)
+                    chars, n = chars[first], np.bincount(at, weights=np.concatenate([old[1], n])).astype(np.int64)
+                held[lang] = (keys, n.astype(np.int64), chars.astype("<u4"))
+                if sum(len(k) for k, _, _ in held.values()) > KEPT_GRAMS:
+                    yield from sent()
+    yield from sent()
+
+
+def discount(c: Column) -> Column:
+    """The Kneser-Ney discount of a count of 1, 2, or 3 and more, from how many n-grams of a language have counts 1 to 4 (columns n1 to n4).
+
+    Half a count where the corpus is too small to tell.
+    """
+    many = [F.col(f"n{k}") for k in (1, 2, 3, 4)]
+    y = many[0] / (many[0] + 2 * many[1])
+    d = [F.least(F.greatest(k - (k + 1) * y * many[k] / many[k - 1], F.lit(0.05)), F.lit(float(k))) for k in (1, 2, 3)]
+    enough = (many[0] > 0) & (many[1] > 0) & (many[2] > 0) & (many[3] > 0)
+    return F.when(~enough, F.lit(0.5)).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
-def fit_models(df: DataFrame) -> tuple[Models | KnownWords, DataFrame | None]:
-    """Count df(lang, text) and build a model for each language.
 
-    Returns what is broadcast and, where that knows only the frequent words,
-    the table of the other words' scores.
-    """
-    counts = df.mapInPandas(counted_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "grams")
-    if counts.count() > MAX_ENTRIES:
-        words = word_table(df, counts)
-        least = least_of_head(words, HEAD_WORDS)
-        return KnownWords(words.filter(F.col("n") >= least).toPandas()), words.filter(F.col("n") < least)
-    models = {}
-    table = counts.toPandas()
-    for lang, part in table.groupby("lang"):
-        models[lang] = KneserNey(part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy())
-    return Models(models), None
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """gram (its 64 bits), n and value: the log probability of every n-gram of counts(lang, gram, key, n) in its language's model."""
+    level = {ORDER: counts.select("lang", "gram", F.col("n").alias("c"), F.col("n").alias("raw"))}
+    for n in range(ORDER - 1, 0, -1):
+        found = level[n + 1].select("lang", F.substring("gram", 2, n).alias("gram"), "raw").groupBy("lang", "gram").agg(F.count("*").alias("left"), F.sum("raw").alias("raw"))
+        # what starts a text has one possible left neighbour, so its own count is used
+        first = F.col("gram").startswith(chr(PAD)) if n > 1 else F.lit(False)
+        level[n] = materialize(found.select("lang", "gram", F.when(first, F.col("raw")).otherwise(F.col("left")).alias("c"), "raw"), f"level{n}")
+    lower = None
+    for n in range(1, ORDER + 1):
+        many = [F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+        of_lang = level[n].groupBy("lang").agg(*many, (1 / (F.count("*") + 1)).alias("floor"))
+        grams = level[n].join(of_lang, "lang").select(
+            "lang", "gram", F.substring("gram", 1, n - 1).alias("context"), F.substring("gram", 2, n - 1).alias("rest"), "c", "floor", F.least(discount(F.col("c")), F.col("c").cast("double")).alias("less")
+        )
+        contexts = grams.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("less").alias("kept"))
+        grams = grams.join(contexts, ["lang", "context"])
+        if lower is None:
+            grams = grams.withColumn("lower", F.col("floor"))
+        else:
+            grams = grams.join(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower")), ["lang", "rest"])
+        p = (F.col("c") - F.col("less") + F.col("kept") * F.col("lower")) / F.col("total")
+        lower = materialize(grams.select("lang", "gram", p.alias("p")), f"order{n}")
+    return counts.join(lower, ["lang", "gram"]).select(F.col("key").alias("gram"), "n", F.log("p").alias("value"))
 
 
 def text_counts(text: str, hashes: np.ndarray) -> tuple[int, int, int, int]:
@@ -260,70 +147,41 @@ def text_counts(text: str, hashes: np.ndarray) -> tuple[int, int, int, int]:
     return chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-class ScoredWords:
-    """The words that a worker has seen, with their hashes and their scores in the language that suits each best.
-
-    Documents quote other languages, so a word isn't held against the language
-    of its document; the band that the document's mean must meet is.
-    """
-
-    def __init__(self, models: Models | KnownWords) -> None:
-        self.models, self.names = models, Interner()
-        self.hashes, self.scores, self.units = np.empty(0, np.uint64), np.empty(0), np.empty(0)
-
-    def learn(self) -> None:
-        if new := self.names.words[len(self.hashes) :]:
-            self.hashes = np.concatenate([self.hashes, np.fromiter(map(WordHashes().__missing__, new), np.uint64, len(new))])
-            scores, units = self.models.scores(new)
-            self.scores = np.concatenate([self.scores, scores])
-            self.units = np.concatenate([self.units, units])
-
-    def judged(self, own: np.ndarray) -> tuple[float, float, list[dict]]:
-        """The sums of scores and units of a text's words, and its words without a score with their numbers."""
-        scores = self.scores[own]
-        unknown = np.isnan(scores)
-        if not unknown.any():
-            return float(scores.sum()), float(self.units[own].sum()), []
-        at, n = np.unique(own[unknown], return_counts=True)
-        rest = [{"word": self.names.words[i].decode("utf-8", "surrogatepass"), "n": k} for i, k in zip(at.tolist(), n.tolist(), strict=True)]
-        return float(scores[~unknown].sum()), float(self.units[own].sum()), rest
-
-
-RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, word_score double, units double, tail array<struct<word:string,n:long>>"
+RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, units long, tail array<long>, tail_n array<long>"
 
 
-def rule_columns(df: DataFrame, models: Models | KnownWords) -> DataFrame:
-    """Append the struct `rules` of plain counts, the sums of word scores and their characters, and the words that models lack."""
-    shared = df.sparkSession.sparkContext.broadcast(models)
+def rule_columns(df: DataFrame, head: HeadValues) -> DataFrame:
+    """Append the struct `rules` to df(lang, text): plain counts, the sum of log probabilities, their number, and the n-grams that head lacks."""
+    shared = df.sparkSession.sparkContext.broadcast(head)
 
     @F.pandas_udf(RULES)
-    def rules(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        seen = ScoredWords(shared.value)
-        names = [x.split()[0] for x in RULES.split(", ")]
-        for texts in batches:
-            rows = []
-            for first in range(0, len(texts), 200):  # new words are scored together
-                part = [t or "" for t in texts[first : first + 200]]
-                if seen.names.full():
-                    seen = ScoredWords(shared.value)
-                at = [seen.names.of(ascii_words(t)) for t in part]
-                seen.learn()
-                for text, own in zip(part, at, strict=True):
-                    counts = text_counts(text, seen.hashes[own])
-                    rows.append((len(own), *counts, *seen.judged(own)))
-            yield pd.DataFrame(rows, columns=names)
-
-    return df.withColumn("rules", rules("text"))
-
-
-def with_perplexity(scored: DataFrame, rare: DataFrame | None) -> DataFrame:
-    """Append log_ppl, the log perplexity a character (null without words); rare: the scores of the words in tail."""
-    if rare is not None:
-        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "rows")
-        used = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
-        rest = used.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("rest_score"), F.sum(F.col("times") * F.col("units")).alias("rest_units"))
-        scored = scored.join(rest, "row", "left").withColumn("word_score", F.col("word_score") + F.coalesce("rest_score", F.lit(0.0))).withColumn("units", F.col("units") + F.coalesce("rest_units", F.lit(0)))
-    return scored.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("word_score") / F.col("units")))
+    def rules(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for langs, texts in batches:
+            out: dict[str, list] = {x.split()[0]: [] for x in RULES.split(", ")}
+            langs, texts = list(langs), [t or "" for t in texts]
+            for a, b in text_parts(texts):
+                words = [ascii_words(t) for t in texts[a:b]]
+                grams, starts, _ = running_grams(words, langs[a:b])
+                score, tail, tail_n = shared.value.sums(grams, starts)
+                for text, own in zip(texts[a:b], words, strict=True):
+                    counts = text_counts(text, hashes.of(own))
+                    for name, value in zip(out, (len(own), *counts), strict=False):
+                        out[name].append(value)
+                out["score"] += score.tolist()
+                out["units"] += np.diff(np.append(starts, len(grams))).tolist()
+                out["tail"] += tail
+                out["tail_n"] += tail_n
+            yield frame(out)
+
+    return df.withColumn("rules", rules("lang", "text"))
+
+
+def with_perplexity(scored: DataFrame, values: DataFrame) -> DataFrame:
+    """Append log_ppl, the log perplexity a character (null without words), with what the tails of scored(row, ...) add."""
+    rest = tail_rows(scored).join(values, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("rest_score"))
+    total = F.col("score") + F.coalesce("rest_score", F.lit(0.0))
+    return scored.drop("tail", "tail_n").join(rest, "row", "left").withColumn("log_ppl", F.when(F.col("n_words") > 0, -total / F.col("units")))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", width: float = 3.0, least: float = 0.03) -> DataFrame:
@@ -336,18 +194,20 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", width: float = 3.0, lea
     max(width x their distance, least) x sqrt(1 + 100 / n_words), as short texts
     scatter more.
 
-    Counts and quartiles come from all documents. No text is shuffled, only
-    4-gram counts and one narrow row a document; of a vocabulary whose models
-    are not broadcast, its distinct words and each document's rare ones too. The
-    models have order ORDER at every size. A null lang is a language of
-    its own; a null or empty text has no words and base_failed; one very long
-    word is scored like any other; repeated rows are judged alike; an empty
-    table gives an empty table; other columns, whatever their names, are not read.
+    Counts and quartiles come from all documents and models have order ORDER at
+    every size. No text is shuffled, only n-gram counts, one narrow row a
+    document and, of n-grams beyond the HEAD_GRAMS most frequent, a row for each
+    document that has them. A null lang is a language of its own; a null or
+    empty text has no words and base_failed; one very long word is scored like
+    any other; repeated rows are judged alike; ids of any type are kept as they
+    are; an empty table gives an empty table; other columns, whatever their
+    names, are not read.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), "text")
-    models, rare = fit_models(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text"))
-    scored = with_perplexity(rule_columns(docs, models).select("id", "lang", "rules.*"), rare)
-    scored = materialize(scored.drop("row", "tail", "rest_score", "rest_units"), "rules")
+    docs = df.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("own_lang"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
+    counts = docs.select("lang", "text").mapInPandas(counted_grams, COUNTED).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.first("key").alias("key"))
+    values = materialize(gram_logs(materialize(counts, "grams")), "gram_values")
+    scored = rule_columns(docs, head_values(values, HEAD_GRAMS)).select("id", F.col("own_lang").alias("lang"), "rules.*").withColumn("row", F.monotonically_increasing_id())
+    scored = materialize(with_perplexity(materialize(scored, "rules"), values), "perplexity")
     scored = scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     bands = scored.filter(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))

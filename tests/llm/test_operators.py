@@ -227,28 +227,78 @@ def test_language_model(docs, monkeypatch):
         base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in tokens)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), total)
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
-    grams, n = np.unique(lm_scoring.text_grams(b"abracadabra" * 3), return_counts=True)
-    tree = lm_scoring.ContextTree(grams, n.astype(float))
-    for context in (0, 0x616272, 0x7A7A7A):
-        every = np.uint32(context) << np.uint32(8) | np.arange(256, dtype=np.uint32)
-        assert abs((10 ** tree.log10(every)).sum() - 1) < 1e-9
 
 
-@pytest.mark.parametrize("most", [None, 100, 0])
-def test_language_model_has_one_depth(docs, monkeypatch, most):
-    """The score is that of the tree of all grams, whatever part of them is broadcast."""
+def plain_tree(texts):
+    """Context-tree weighting by recursion over dictionaries: log10 P of a text after training on texts."""
+    from math import exp, lgamma, log, log10
+
+    depth, counts = lm_scoring.DEPTH, defaultdict(lambda: [0, 0])
+    steps = lambda t: [((b"\0" * depth + t + b"\xff")[i : i + depth], x) for i, x in enumerate(t + b"\xff")]
+    children = defaultdict(set)
+    for t in texts:
+        for context, x in steps(t):
+            for k in range(8):
+                bits = (k, x >> (8 - k))
+                for d in range(depth + 1):
+                    own = context[depth - d :]
+                    counts[own, bits][x >> (7 - k) & 1] += 1
+                    if d:
+                        children[own[1:], bits].add(own)
+    totals = {}
+
+    def kt(node):
+        a, b = counts[node]
+        return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(3.141592653589793)
+
+    def total(context, bits):
+        node = (context, bits)
+        if node not in totals:
+            own = kt(node)
+            if len(context) < depth:
+                below = sum(total(c, bits) for c in children[node])
+                top = max(own, below)
+                own = top + log(0.5 * exp(own - top) + 0.5 * exp(below - top))
+            totals[node] = own
+        return totals[node]
+
+    def probability(context, bits, one):
+        p = None
+        for d in range(depth, -1, -1):
+            node = (context[depth - d :], bits)
+            if node in counts:
+                a, b = counts[node]
+                own = ((b if one else a) + 0.5) / (a + b + 1)
+                w = exp(kt(node) - log(2) - total(*node))
+                p = own if p is None else w * own + (1 - w) * p
+        return 0.5 if p is None else p
+
+    return lambda t: sum(log10(probability(c, (k, x >> (8 - k)), x >> (7 - k) & 1)) for c, x in steps(t) for k in range(8))
+
+
+@pytest.mark.parametrize("head", [None, 100, 0])
+def test_language_model_is_a_context_tree(spark, monkeypatch, head):
+    """Scores are those of a plain recursive tree, whatever part of the grams is broadcast; a distribution sums to 1."""
     import zlib
 
-    if most is not None:
-        monkeypatch.setattr(lm_scoring, "MAX_GRAMS", most, raising=False)
-        monkeypatch.setattr(lm_scoring, "HEAD_GRAMS", most, raising=False)
-    texts = {i: (t or "").encode() for i, t, *_ in corpus()}
-    train = [lm_scoring.text_grams(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    grams, n = np.unique(np.concatenate(train), return_counts=True)
-    tree = lm_scoring.ContextTree(grams, n.astype(float))
-    for r in lm_scoring.lm_scores(docs).collect():
-        want = tree.log10(lm_scoring.text_grams(texts[r["doc_id"]])).sum()
-        assert abs(r["score"] - want) < 1e-7 * max(1, abs(want))
+    if head is not None:
+        monkeypatch.setattr(lm_scoring, "HEAD_GRAMS", head)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["ab", "abc", "ba", "é", "cab"], n)) for n in (30, 3, 1, 12, 40, 8, 25, 17)] + ["", None, "abab" * 30]
+    rows = [(2**60 + i if i else None, t) for i, t in enumerate(texts)]
+    score = plain_tree([(t or "").encode() for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1])
+    got = {r["doc_id"]: r for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        want = score((t or "").encode())
+        assert abs(got[i]["score"] - want) < 1e-7 * max(1, abs(want))
+        assert abs(got[i]["bits_per_byte"] + want / np.log10(2) / (len((t or "").encode()) + 1)) < 1e-7
+
+
+def test_language_model_beats_words(spark):
+    """On held-out documents the tree gives the texts a higher probability than word frequencies do, given enough to learn from."""
+    got = lm_scoring.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").groupBy().sum("score", "base_score").first()
+    assert got[0] > got[1]
 
 
 def test_quality_rules(docs):
@@ -261,17 +311,82 @@ def test_quality_rules(docs):
         assert r["base_failed"] == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
 
 
-@pytest.mark.parametrize("head", [200_000, 20, 0])
-def test_quality_rules_have_one_order(docs, monkeypatch, head):
-    """Perplexities and bands are those of the 4-gram models, also where tables score the words."""
-    want = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
-    monkeypatch.setattr(quality_rules, "MAX_ENTRIES", 10)
-    monkeypatch.setattr(quality_rules, "HEAD_WORDS", head, raising=False)
+def plain_kneser_ney(texts):
+    """Modified Kneser-Ney over running characters by dictionaries: log P a character of a text."""
+    from math import log
+
+    order = quality_rules.ORDER
+    run = lambda t: "\x02" * (order - 1) + re.sub(r"([!-/:-@\[-`{-~])\1+", r"\1", " ".join((t or "").split())) + "\x03"
+    level = {order: Counter()}
+    for t in texts:
+        s = run(t)
+        level[order].update(s[i : i + order] for i in range(len(s) - order + 1))
+    raw = {order: level[order]}
+    for n in range(order - 1, 0, -1):
+        left, raw[n] = Counter(), Counter()
+        for g, c in raw[n + 1].items():
+            left[g[1:]] += 1
+            raw[n][g[1:]] += c
+        level[n] = Counter({g: raw[n][g] if n > 1 and g[0] == "\x02" else left[g] for g in left})
+
+    def discounts(c):
+        n1, n2, n3, n4 = (sum(1 for v in c.values() if v == k) for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3 and n4):
+            return [0, 0.5, 0.5, 0.5]
+        y = n1 / (n1 + 2 * n2)
+        return [0, *(min(max(k - (k + 1) * y * b / a, 0.05), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+
+    d = {n: discounts(c) for n, c in level.items()}
+    sums = {n: Counter() for n in level}
+    kept = {n: Counter() for n in level}
+    for n, c in level.items():
+        for g, v in c.items():
+            sums[n][g[:-1]] += v
+            kept[n][g[:-1]] += min(d[n][min(v, 3)], v)
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / (len(level[1]) + 1)
+        if not sums[n][g[:-1]]:
+            return p(g[1:])
+        return (max(level[n][g] - d[n][min(level[n][g], 3)], 0) + kept[n][g[:-1]] * p(g[1:])) / sums[n][g[:-1]]
+
+    def score(t):
+        s = run(t)
+        grams = [s[i : i + order] for i in range(len(s) - order + 1)]
+        return sum(log(p(g)) for g in grams) / len(grams)
+
+    return score
+
+
+@pytest.mark.parametrize("head", [2_000_000, 50, 0])
+def test_perplexities_are_kneser_ney(docs, monkeypatch, head):
+    """Perplexities are those of a plain model of the document's own language, whatever part of it is broadcast."""
+    monkeypatch.setattr(quality_rules, "HEAD_GRAMS", head)
+    rows = {r[0]: r for r in corpus()}
+    models = {lang: plain_kneser_ney([r[1] for r in rows.values() if r[2] == lang]) for lang in ("en", "de", None)}
     got = quality_rules.quality_rules(docs).collect()
-    assert len(got) == len(want) and sum(r["kept"] for r in got) > 0
+    assert len(got) == len(rows) and any(r["kept"] for r in got)
     for r in got:
-        for name, w in want[r["doc_id"]].asDict().items():
-            assert r[name] == w or abs(r[name] - w) < 1e-9 * abs(w)
+        _, text, lang, *_ = rows[r["doc_id"]]
+        if r["n_words"]:
+            assert abs(np.log(r["perplexity"]) + models[lang](text)) < 1e-9
+        else:
+            assert r["perplexity"] is None and not r["kept"]
+        assert r["n_symbols"] == sum((text or "").count(x) for x in "#*$%&|<>")
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\v\f\r")]
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["kept"] == (not r["base_failed"] and r["low"] <= r["perplexity"] <= r["high"])
+
+
+def test_word_order_counts():
+    """A model of running characters finds a text with shuffled words less likely."""
+    rng = np.random.default_rng(2)
+    order = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    texts = [" ".join(order[(s + i) % 25] for i in range(200)) for s in range(20)]
+    score, words = plain_kneser_ney(texts), texts[0].split()
+    assert score(" ".join(rng.permutation(words))) < score(texts[0]) - 0.1
 
 
 @pytest.mark.parametrize(("scores", "label", "name"), [(quality_classifier.quality_scores, "quality", "sf0.01"), (toxicity.toxicity_scores, "toxic", "sf0.01")])
