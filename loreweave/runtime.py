@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
@@ -59,6 +61,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def on_executors(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives value on executors, which needn't have this package: its classes travel with the value."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete what materialize() wrote; the table must no longer be needed."""
     path = getattr(df, "_scratch_path", None)
