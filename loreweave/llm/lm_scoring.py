@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loreweave.llm.gram_table import GramCounts, frame, head_values, least_of_head, tail_rows, text_parts
 from loreweave.llm.labelled import held_out
-from loreweave.runtime import materialize
+from loreweave.runtime import materialize, on_executors
 
 #: Bytes of context; a gram of them and the byte itself takes 56 bits.
 DEPTH = 6
@@ -214,14 +214,14 @@ def upper_levels(bucketed: DataFrame) -> Upper:
 
 def gram_values(bucketed: DataFrame, upper: Upper, wanted: DataFrame | None = None) -> DataFrame:
     """gram, n and value (log10 P) of every gram of bucketed, or gram and value of those of wanted, which has the same columns."""
-    shared = bucketed.sparkSession.sparkContext.broadcast(upper)
+    shared = on_executors(bucketed.sparkSession, upper)
 
     def own(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("gram")
-        return pd.DataFrame({"gram": part["gram"], "n": part["n"], "value": tree_of(part).own_log10(shared.value)})
+        return pd.DataFrame({"gram": part["gram"], "n": part["n"], "value": tree_of(part).own_log10(shared())})
 
     def other(part: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gram": want["gram"], "value": tree_of(part).log10(packed(want["gram"]), shared.value)})
+        return pd.DataFrame({"gram": want["gram"], "value": tree_of(part).log10(packed(want["gram"]), shared())})
 
     if wanted is None:
         return bucketed.groupBy("bucket").applyInPandas(own, "gram long, n long, value double")
@@ -308,11 +308,11 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, training: DataFram
     head = words.filter(F.col("n") >= least).toPandas()
     spark = docs.sparkSession
     logs = dict(zip(map(raw, head["word"]), np.log10((head["n"].to_numpy(float) + 0.5) / denominator).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((head_grams, logs))
+    shared = on_executors(spark, (head_grams, logs))
 
     @F.pandas_udf(SCORED)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        head_grams, logs = shared.value
+        head_grams, logs = shared()
         for batch in batches:
             texts = [t or "" for t in batch]
             out: dict[str, list] = {x.split()[0]: [] for x in SCORED.split(", ")}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loreweave.llm.labelled import SAMPLE_ROWS, fit_logistic, held_out, labelled_sample
 from loreweave.llm.words import Interner, ascii_words, mix
+from loreweave.runtime import on_executors
 
 BITS = 18
 #: A shape n-gram gives an indicator for each of these shares of the text's n-grams that it reaches.
@@ -187,11 +188,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
     texts are read whole; repeated rows are scored alike; an empty table gives
     an empty table, and without labels of both classes the score is constant.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, folds, fold, rows))
+    shared = on_executors(docs.sparkSession, fit_quality(docs, labels, folds, fold, rows))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen, model = FeatureWords(), shared.value
+        seen, model = FeatureWords(), shared()
         for texts in batches:
             yield pd.Series([model.score(x) for x in seen.features([t or "" for t in texts])], dtype="float64")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loreweave.llm.gram_table import KEPT_GRAMS, HeadValues, frame, head_values, tail_rows, text_parts
 from loreweave.llm.words import WordHashes, ascii_words, mix, window_hashes
-from loreweave.runtime import materialize
+from loreweave.runtime import materialize, on_executors
 
 ORDER = 5
 #: Characters before the first and after the last one of a text; what a text has of them is read as UNKNOWN.
@@ -152,18 +152,18 @@ RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 
 def rule_columns(df: DataFrame, head: HeadValues) -> DataFrame:
     """Append the struct `rules` to df(lang, text): plain counts, the sum of log probabilities, their number, and the n-grams that head lacks."""
-    shared = df.sparkSession.sparkContext.broadcast(head)
+    shared = on_executors(df.sparkSession, head)
 
     @F.pandas_udf(RULES)
     def rules(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, head = WordHashes(), shared()
         for langs, texts in batches:
             out: dict[str, list] = {x.split()[0]: [] for x in RULES.split(", ")}
             langs, texts = list(langs), [t or "" for t in texts]
             for a, b in text_parts(texts):
                 words = [ascii_words(t) for t in texts[a:b]]
                 grams, starts, _ = running_grams(words, langs[a:b])
-                score, tail, tail_n = shared.value.sums(grams, starts)
+                score, tail, tail_n = head.sums(grams, starts)
                 for text, own in zip(texts[a:b], words, strict=True):
                     counts = text_counts(text, hashes.of(own))
                     for name, value in zip(out, (len(own), *counts), strict=False):
@@ -190,9 +190,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", width: float = 3.0, lea
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     perplexity (a character), low and high (the language's band), base_failed
     and kept. The band is the quartiles of log perplexity among the language's
-    documents that pass the base rules, widened at either side by
-    max(width x their distance, least) x sqrt(1 + 100 / n_words), as short texts
-    scatter more.
+    documents that pass the base rules, widened by max(width x their distance,
+    least) x sqrt(1 + 100 / n_words), as short texts scatter more; below by twice
+    that, as a good text that has many copies is easy too.
 
     Counts and quartiles come from all documents and models have order ORDER at
     every size. No text is shuffled, only n-gram counts, one narrow row a
@@ -214,7 +214,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", width: float = 3.0, lea
     wide = F.greatest(width * (F.col("q")[1] - F.col("q")[0]), F.lit(least))
     bands = bands.select(F.col("lang").alias("band_lang"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), wide.alias("wide"))
     slack = F.col("wide") * F.sqrt(1 + 100 / F.greatest("n_words", F.lit(1)))
-    lo, hi = F.col("q1") - slack, F.col("q3") + slack
+    lo, hi = F.col("q1") - 2 * slack, F.col("q3") + slack
     inside = F.col("log_ppl").between(lo, hi)
     return scored.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

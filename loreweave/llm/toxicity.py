@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.llm.labelled import SAMPLE_ROWS, fit_logistic, held_out, labelled_sample
-from loreweave.runtime import materialize
+from loreweave.runtime import materialize, on_executors
 
 # Letters of other scripts that look like Latin ones, and digits or signs that stand for letters.
 LOOKALIKES = {
@@ -202,11 +202,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
     of the names of the three results are replaced.
     """
     lexicon = lexicon or fit_toxicity(docs, labels, folds, held, rows)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = on_executors(docs.sparkSession, lexicon)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value)
+        matcher = Matcher(shared())
         for texts in batches:
             yield pd.Series([matcher.score(t) for t in texts], dtype="float64")
 
