@@ -68,10 +68,15 @@ def on_executors(spark: SparkSession, value: object) -> Callable[[], object]:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete what materialize() wrote; the table must no longer be needed."""
+    """Delete what materialize() wrote; the table must no longer be needed.
+
+    Spark deletes the shuffle files of finished queries only when the driver collects garbage, which it seldom has cause
+    to do, so it is asked to here: a chain of large tables would else keep the files of all its steps.
+    """
     path = getattr(df, "_scratch_path", None)
     if path:
         _remove(df.sparkSession, path)
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
