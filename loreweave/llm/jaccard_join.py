@@ -50,8 +50,8 @@ def differing(n: int, percent: int) -> int:
 
 
 def band(n: int, percent: int) -> int:
-    """log2 of the number of blocks for a smaller set of n: half more than it may differ in, 16 at least, so that few sets lie in one block."""
-    return max(4, int(np.ceil(np.log2(1.5 * (differing(n, percent) + 2)))))
+    """log2 of the number of blocks for a smaller set of n: a third more than it may differ in, 16 at least, so that few sets lie in one block."""
+    return max(4, int(np.ceil(np.log2(1.3 * (differing(n, percent) + 2)))))
 
 
 def block_keys(items: np.ndarray, percent: int) -> tuple[int, list[int], list[int], np.ndarray]:
@@ -66,7 +66,7 @@ def block_keys(items: np.ndarray, percent: int) -> tuple[int, list[int], list[in
     low = band(-(-n * percent // 100), percent)
     for b in range(low, band(n, percent) + 1):
         blocks = 1 << b
-        need = min(differing(n, percent), int(blocks / 1.5) - 2) + 1
+        need = min(differing(n, percent), int(blocks / 1.3) - 2) + 1
         at = (items >> np.uint64(64 - b)).astype(np.int64)
         count = np.bincount(at, minlength=blocks)
         filled = np.flatnonzero(count)
@@ -223,6 +223,7 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     usable = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = usable.groupBy("n", "x", "s").agg(F.min("doc_id").alias("least"), F.first("first").alias("first"), F.first("sketch").alias("sketch"), F.first("low").alias("low"), F.first("sizes").alias("sizes"), F.first("needs").alias("needs"), F.first("keys").alias("keys"))
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    del classes, usable
     members = materialize(signed.select("doc_id", "n", "x", "s"), "members")
     drop_table(signed)
     groups = shared_keys(nodes)
