@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from loreweave.operators import vectors
 
 DIMENSIONS = 64
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _hashed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     numbers: dict[bytes, int] = {}  # of the words seen, up to a bound
 
