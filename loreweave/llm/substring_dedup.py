@@ -54,25 +54,26 @@ def span_hashes(hashes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np
     return mix((upto[first + length] - upto[first]) * back[first] + length.astype(np.uint64))
 
 
-CUT = "doc_id long, text_hash long, n_words long, whole string, m array<long>, r array<long>, first array<int>, words array<int>"
+CUT = "n_words long, whole string, m array<long>, r array<long>, first array<int>, words array<int>"
 
 
 def cut_documents(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A function of texts alone, so that ids never pass through Python."""
+
+    @F.pandas_udf(CUT)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                words = ascii_words(text)
-                hashes = known.of(words)
-                first, length, least = regions(hashes, width)
-                r = span_hashes(hashes, first, length) if len(first) else least
-                digest = hashlib.sha256(b" ".join(words)).hexdigest()
-                rows.append((len(words), digest, least.view(np.int64), r.view(np.int64), first.astype(np.int32), length.astype(np.int32)))
-            out = pd.DataFrame(rows, columns=["n_words", "whole", "m", "r", "first", "words"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out.insert(1, "text_hash", batch["text_hash"].to_numpy())
-            yield out
+            for start in range(0, len(batch), 1_000):
+                rows = []
+                for text in batch.iloc[start : start + 1_000]:
+                    words = ascii_words(text)
+                    hashes = known.of(words)
+                    first, length, least = regions(hashes, width)
+                    r = span_hashes(hashes, first, length) if len(first) else least
+                    digest = hashlib.sha256(b" ".join(words)).hexdigest()
+                    rows.append((len(words), digest, least.view(np.int64), r.view(np.int64), first.astype(np.int32), length.astype(np.int32)))
+                yield pd.DataFrame(rows, columns=["n_words", "whole", "m", "r", "first", "words"])
 
     return run
 
@@ -121,7 +122,7 @@ def remove_windows(width: int):
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_words, n_removed and kept_sha256.
+    """For each row of docs(doc_id, text): doc_id (an integer), n_words, n_removed and kept_sha256.
 
     A word goes if a window of `width` words over it also starts in a document
     with a smaller doc_id; windows are judged on the input.
@@ -137,7 +138,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     table; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
-    cut = materialize(texts.mapInPandas(cut_documents(width), CUT), "cut")
+    cut = materialize(texts.withColumn("c", cut_documents(width)("text")).select("doc_id", "text_hash", "c.*"), "cut")
     spans = cut.filter("doc_id is not null").select("doc_id", "text_hash", F.explode(F.arrays_zip("m", "r", "first", "words")).alias("s")).select("doc_id", "text_hash", "s.*")
     shared = spans.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("m")
     found = materialize(spans.join(shared, "m"), "found")

@@ -107,6 +107,8 @@ def test_ids_stay_as_they_are(spark):
     big = [(2**60 + 3, words), (2**60 + 1, words), (None, words), (5, words + " tail"), (5, "other text"), (None, "")]
     got = Counter(tuple(r) for r in jaccard_join.near_components(spark.createDataFrame(big, "doc_id long, text string")).collect())
     assert got == Counter([(2**60 + 3, 118, 5), (2**60 + 1, 118, 5), (None, 118, None), (5, 119, 5), (5, 1, 5), (None, 0, None)])
+    cut = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(spark.createDataFrame(big[:3], "doc_id long, text string")).collect()}
+    assert cut == {2**60 + 1: 0, 2**60 + 3: 120, None: 0}
     named = [("b", words), ("a", words), ("c", "x y z w"), (None, words)]
     got = {tuple(r) for r in jaccard_join.near_components(spark.createDataFrame(named, "doc_id string, text string")).collect()}
     assert got == {("b", 118, "a"), ("a", 118, "a"), ("c", 2, "c"), (None, 118, None)}
@@ -180,6 +182,31 @@ def test_mixing(docs):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=repr)
 
 
+def test_mixing_targets_and_counts(docs):
+    """Targets by sharing and capping in turns; each source's taken words within a document of its target."""
+    sizes, most = Counter(), Counter()
+    for i, t, _, source, *_ in corpus():
+        sizes[source] += len((t or "").split())
+        most[source] = max(most[source], len((t or "").split()))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_sources, left = {}, set(order), 1.5 * sum(sizes.values())
+    while open_sources:
+        share = left / sum(weight[s] for s in open_sources)
+        full = {s for s in open_sources if share * weight[s] > 2 * sizes[s]}
+        if not full:
+            target |= {s: share * weight[s] for s in open_sources}
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        open_sources -= full
+    taken = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= most[s] for s in order)
+
+
 def test_sharding(docs):
     got = sharding.shard_documents(docs, 4).collect()
     texts = [t or "" for _, t, *_ in corpus()]
@@ -187,6 +214,18 @@ def test_sharding(docs):
     for r in got:
         by_text[texts[r["doc_id"]]].add(r["shard"])
     assert all(len(s) == 1 for s in by_text.values())
+    import zlib
+
+    load = Counter()
+    for r in got:
+        data = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None) and 0 <= r["shard"] < 4
+        load[r["shard"]] += r["size"]
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t.encode()) + 1
+    rest = [load[k] for k in range(4) if load[k] != max(groups.values())]
+    assert max(rest) - min(rest) <= 0.02 * sum(rest)
     for shard in {r["shard"] for r in got}:
         slots = sorted(r["slot"] for r in got if r["shard"] == shard)
         assert slots == list(range(len(slots)))
@@ -425,6 +464,38 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
+def test_pipeline_is_its_stages_done_plainly(spark, tmp_path):
+    """What each stage keeps of a small table with nulls, copies, benchmark passages, toxic texts and columns named as results."""
+    import zlib
+
+    rng = np.random.default_rng(8)
+    text = lambda n=60: " ".join(f"v{i}" for i in rng.integers(0, 3_000, n))
+    passage, base = text(12), text()
+    toxic = [text(30) + " vilefoul " + text(30) for _ in range(30)]
+    near = base.replace(base.split()[30], "other", 1)
+    texts = [base, base, near, None, "", passage + " " + text(), *toxic, *[text() for _ in range(60)]]
+    rows = [(i, t, "en", ["a", "b", None][i % 3], 1, 777) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(6 <= i < 36)) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        kept[name] = sorted(r["doc_id"] for r in docs.collect())
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"] and {r["score"] for r in docs.collect()} == {777}
+    assert kept["toxicity"] == [i for i in range(len(texts)) if not 6 <= i < 36]
+    assert kept["near_duplicates"] == [i for i in kept["toxicity"] if i not in (1, 2)]
+    assert kept["decontamination"] == [i for i in kept["near_duplicates"] if i != 5]
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    want = Counter({r["doc_id"]: r["copies"] for r in mixing.mix_sources(docs).collect()})
+    assert Counter(r["doc_id"] for r in mixed.collect()) == +want
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in out) == +want
+    for r in out:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+
+
 def test_one_row_of_each_group_stays(spark, tmp_path):
     """Repeated rows, two texts that share a doc_id, and copies without a doc_id."""
     rng = np.random.default_rng(5)
