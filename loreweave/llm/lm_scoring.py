@@ -24,12 +24,12 @@ from loreweave.llm.gram_table import GramCounts, frame, head_values, least_of_he
 from loreweave.llm.labelled import held_out
 from loreweave.runtime import materialize, on_executors
 
-#: Bytes of context; a gram of them and the byte itself takes 56 bits.
-DEPTH = 6
+#: Bytes of context; a gram of them and the byte itself takes 48 bits.
+DEPTH = 5
 #: The byte that ends a text; UTF-8 has none like it.
 END = 0xFF
 #: Frequent grams whose values are broadcast at most; the values of the others are joined.
-HEAD_GRAMS = 3_000_000
+HEAD_GRAMS = 500_000
 #: Parts of the tree are dealt over so many buckets at least, and over more from so many grams a bucket on.
 BUCKETS, BUCKET_GRAMS = 32, 500_000
 #: Frequent words whose counts are broadcast at most; the counts of the others are joined.

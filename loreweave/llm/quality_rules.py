@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from loreweave.llm.gram_table import KEPT_GRAMS, HeadValues, frame, head_values, tail_rows, text_parts
 from loreweave.llm.words import WordHashes, ascii_words, mix, window_hashes
-from loreweave.runtime import materialize, on_executors
+from loreweave.runtime import drop_table, materialize, on_executors
 
 ORDER = 5
 #: Characters before the first and after the last one of a text; what a text has of them is read as UNKNOWN.
 PAD, END, UNKNOWN = 2, 3, 0xFFFD
 #: Frequent n-grams whose probabilities are broadcast at most; those of the others are joined.
-HEAD_GRAMS = 2_000_000
+HEAD_GRAMS = 250_000
 SYMBOLS = "#*$%&|<>"
 #: A run of one punctuation mark is read as a single mark, so that long runs don't look like easy text.
 _RUNS = re.compile(rb"([!-/:-@\[-`{-~])\1+")
@@ -126,7 +126,10 @@ def gram_logs(counts: DataFrame) -> DataFrame:
         else:
             grams = grams.join(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower")), ["lang", "rest"])
         p = (F.col("c") - F.col("less") + F.col("kept") * F.col("lower")) / F.col("total")
-        lower = materialize(grams.select("lang", "gram", p.alias("p")), f"order{n}")
+        before, lower = lower, materialize(grams.select("lang", "gram", p.alias("p")), f"order{n}")
+        for done in (before, level[n]):  # the counts of the highest order are the caller's
+            if done is not None and n < ORDER:
+                drop_table(done)
     return counts.join(lower, ["lang", "gram"]).select(F.col("key").alias("gram"), "n", F.log("p").alias("value"))
 
 
