@@ -174,3 +174,34 @@ def test_save_triggers_follow_batches(spark, tmp_path):
     run = activity.save_triggers(stream).writeStream.format("memory").queryName("saves").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     run.awaitTermination(120)
     assert [r["n_human"] for r in spark.table("saves").collect()] == [20]
+
+
+def test_names_are_counted_by_scans(spark):
+    """A scan finds the matches of all names of one word; patterns whose names may stand at several places are looked at one by one."""
+    from loreweave.operators import entities
+
+    signals = entities.Signals(dialogue=(r"(?m)^NAME:\s",), action=(r"\bNAME\s+said\b",), addressed=(r"\bhey\s+NAME\b|\bhi\s+NAME\b",), project=(r"\bthe\s+(?:\w+\s+)?NAME\b",), versioned=(r"\bNAME[-v]\w+",), pronouns=("she",))
+    assert all(entities._scans(p) for p in (*signals.dialogue, *signals.action, *signals.addressed, *signals.versioned))
+    assert entities._scans(signals.project[0]) is None
+    text = "Ann: hey ann, she said\nANN said ann said hi Ann\n\n\nthe old Ann and the Annv2 of Joannas and Ann Lee said"
+    docs = spark.createDataFrame([(1, text), (2, "nothing of Anns"), (3, None)], "id long, document string")
+    names = spark.createDataFrame([("Ann", 9), ("Ann Lee", 5), ("Bo", 4)], "name string, frequency long")
+    got = {r["name"]: (r["person_score"], r["project_score"], r["kinds"]) for r in entities.scores(docs, names, signals).collect()}
+    assert got == {"Ann": (3 + 2 * 2 + 2 * 2 + 4 * 2, 2 + 3, ["action", "dialogue", "pronoun"]), "Ann Lee": (2, 0, ["action"]), "Bo": (0, 0, [])}
+
+
+def test_counting_names_is_linear_in_a_text(spark):
+    """A text of many different names, each in many lines, takes no step for each name and occurrence."""
+    import time
+
+    import pandas as pd
+
+    from loreweave.operators import entities
+
+    words = ["".join(chr(97 + (i // 26**j) % 26) for j in range(3)) + "x" for i in range(3000)]
+    text = "\n".join("he saw the " + " the ".join(words[i : i + 60]) for i in range(0, 2940, 3))
+    began = time.process_time()
+    counts = entities._counter([r"\bthe\s+NAME\b", None, r"\bNAME\s+the\b"], ("he",)).func(iter([(pd.Series([text]), pd.Series([[w.title() for w in words]]))]))
+    rows = {r["name"]: r["counts"] for r in next(counts)[0]}
+    assert rows[words[100].title()] == [20, 20, 20]
+    assert time.process_time() - began < 4
