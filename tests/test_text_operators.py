@@ -205,3 +205,10 @@ def test_counting_names_is_linear_in_a_text(spark):
     rows = {r["name"]: r["counts"] for r in next(counts)[0]}
     assert rows[words[100].title()] == [20, 20, 20]
     assert time.process_time() - began < 4
+
+
+def test_marker_bounds_are_those_of_ascii_words(spark):
+    """A marker's word ends before a letter that isn't ASCII, as in the SQL; Java 17 alone would read on."""
+    markers = {"decision": [r"tion\b", r"\bla\b"], "problem": [r"\bof\b"]}
+    got = one(spark, classify.memory(F.col("t"), markers), "tion\u00e9 \u00e9la \u00fcof of and no more is told")
+    assert (got["kind"], got["confidence"]) == ("decision", 0.4)
