@@ -212,3 +212,27 @@ def test_marker_bounds_are_those_of_ascii_words(spark):
     markers = {"decision": [r"tion\b", r"\bla\b"], "problem": [r"\bof\b"]}
     got = one(spark, classify.memory(F.col("t"), markers), "tion\u00e9 \u00e9la \u00fcof of and no more is told")
     assert (got["kind"], got["confidence"]) == ("decision", 0.4)
+
+
+def test_neighbours_of_a_task_are_found_in_bounded_memory():
+    """The best rows of many queries, ties by the smaller id, with a peak far under one matrix of all queries and a batch's rows."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from loreweave.operators import vectors
+
+    rng = np.random.default_rng(1)
+    rows, asked = rng.integers(-2, 3, (6000, 8)).astype(float), rng.integers(-2, 3, (1000, 8)).astype(float)
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-9)[:, None]
+    frame = pd.DataFrame({"row_id": rng.permutation(6000), "v": list(rows)})
+    tracemalloc.start()
+    got = pd.concat(vectors._best(3)((list(range(1000)), unit(asked)))(iter([frame[:4000], frame[4000:]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # one matrix of 1,000 by 4,000 has 32 MB
+    s = np.round(unit(asked) @ unit(rows).T, 12)
+    for q in range(0, 1000, 50):
+        order = np.lexsort((frame["row_id"], -s[q]))[:4]
+        mine = got[got["query_id"] == q]
+        assert list(mine["row_id"]) == list(frame["row_id"].to_numpy()[order]) and np.allclose(mine["s"], s[q][order])
