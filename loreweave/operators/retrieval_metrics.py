@@ -70,12 +70,28 @@ def evidence_recall(retrieved: DataFrame, evidence: DataFrame, text: str = "text
     return rows.select("query_id", "found", "wanted", (F.col("found") / F.col("wanted")).alias("recall"))
 
 
+def shared_words(a: Column, b: Column) -> Column:
+    """How many words two lists have in common as multisets, by one walk over both in order."""
+    side = lambda c, l, r: F.transform(c, lambda w: F.struct(w.alias("w"), F.lit(l).alias("l"), F.lit(r).alias("r")))
+    state = lambda w, l, r, n: F.struct(w.alias("w"), l.alias("l"), r.alias("r"), n.alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["w"].eqNullSafe(x["w"])
+        return F.when(same, state(s["w"], s["l"] + x["l"], s["r"] + x["r"], s["n"])).otherwise(state(x["w"], x["l"], x["r"], s["n"] + F.least(s["l"], s["r"])))
+
+    begin = state(F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(0))
+    return F.aggregate(F.sort_array(F.concat(side(a, 1, 0), side(b, 0, 1))), begin, step, lambda s: s["n"] + F.least(s["l"], s["r"]))
+
+
 def token_f1(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """key, f1 of the word lists a and b as multisets; 0 where they share nothing. Rows without any word are left out."""
-    side = lambda c, l, r: pairs.select(*key, F.explode(c).alias("w"), F.lit(l).alias("l"), F.lit(r).alias("r"))
-    counts = side("a", 1, 0).unionByName(side("b", 0, 1)).groupBy(*key, "w").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    sums = counts.groupBy(*key).agg(F.sum(F.least("l", "r")).alias("both"), F.sum(F.col("l") + F.col("r")).alias("all"))
-    return sums.select(*key, F.when(F.col("both") > 0, 2.0 * F.col("both") / F.col("all")).otherwise(F.lit(0.0)).alias("f1"))
+    """key, f1 of the word lists a and b as multisets; 0 where they share nothing. Rows without any word are left out.
+
+    Lists are compared where they lie; those of a repeated key are put together.
+    """
+    whole = lambda c: F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))).alias(c)
+    rows = pairs.groupBy(*key).agg(whole("a"), whole("b"))
+    total = F.size("a") + F.size("b")
+    return rows.filter(total > 0).select(*key, (2.0 * shared_words(F.col("a"), F.col("b")) / total).alias("f1"))
 
 
 def regressions(current: DataFrame, baseline: DataFrame, threshold: float = 0.2, rising: str = "recall|hit|ndcg|accuracy|throughput") -> DataFrame:
