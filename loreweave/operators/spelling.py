@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.functions.text import bound
+from loreweave.functions.text import words as words_of
+
 # What marks a token as no plain word.
 TECHNICAL = [r"\d", r"[A-Z][a-z]+[A-Z]", r"^[A-Z_@#$%^&*()+=\[\]{}|<>?.:/\\]+$", r"[-_]", r"(?i)https?://|www\.|/Users/|~/|\.[a-z]{2,4}$", r"[`*_#{}\[\]\\]"]
 PUNCTUATION = r"""[.,!?;:'")]"""
@@ -34,16 +37,21 @@ def close_enough(word: Column, corrected: Column) -> Column:
 def corrected(texts: DataFrame, corrections: DataFrame, dictionary: DataFrame, known: list[str] | None = None, key: str = "id", text: str = "text") -> DataFrame:
     """key, text with the words of corrections(word, correction) put right; white space stays, and so do words of dictionary(word).
 
-    Distinct words are joined, not texts: a text comes back together from its pieces by place.
+    The distinct words of a text are joined, and only those found go back to it: texts are moved once, and those without any stay as they are.
     """
-    pieces = texts.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"), 0)).alias("at", "piece"))
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"), 0)
     usable = corrections.join(dictionary.select(F.lower("word").alias("word")).distinct(), "word", "left_anti").filter(close_enough(F.col("word"), F.col("correction")))
     usable = usable.groupBy("word").agg(F.min("correction").alias("correction"))
-    plain = ~left_alone(bare(F.col("piece")), known) & ~F.substring(bare(F.col("piece")), 1, 1).rlike(r"\p{Lu}")
-    rows = pieces.withColumn("word", F.when(plain, bare(F.col("piece")))).join(usable, "word", "left")
-    piece = F.when(F.col("correction").isNotNull(), F.concat("correction", ending(F.col("piece")))).otherwise(F.col("piece"))
-    whole = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))), lambda x: x["piece"]), "").alias(text))
-    return texts.select(key).join(whole, key, "left").select(key, F.coalesce(text, F.lit("")).alias(text))
+    usable = usable.filter(~left_alone(F.col("word"), known) & ~F.substring("word", 1, 1).rlike(r"\p{Lu}"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    words = texts.select(key, F.explode(F.array_distinct(F.transform(words_of(body), bare))).alias("word"))
+    fixes = words.join(usable, "word").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("fixes"))
+
+    def put_right(piece: Column) -> Column:
+        return bound(bare(piece), lambda word: bound(F.element_at("fixes", word), lambda c: F.when(c.isNotNull(), F.concat(c, F.substring(piece, F.length(word) + 1, F.length(piece)))).otherwise(piece)))
+
+    whole = F.when(F.col("fixes").isNull(), F.col("body")).otherwise(F.array_join(F.transform(pieces(F.col("body")), put_right), ""))
+    return texts.select(key, body.alias("body")).join(fixes, key, "left").select(key, whole.alias(text))
 
 
 def corrected_transcripts(transcripts: DataFrame, corrections: DataFrame, dictionary: DataFrame, known: list[str] | None = None, key: str = "id", text: str = "transcript") -> DataFrame:
