@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import sentences, token_estimate, words
+from loreweave.functions.text import bound, sentences, token_estimate, words
 
 
 def signals(text: Column, lexicon: list[tuple[str, str]], most: int = 3) -> Column:
@@ -17,15 +21,15 @@ def signals(text: Column, lexicon: list[tuple[str, str]], most: int = 3) -> Colu
 
 def names(text: Column, stop: list[str], most: int = 3, known: dict[str, str] | None = None) -> Column:
     """The codes of known names that the text contains, in any case; without any, codes of three letters for capitalised words after the first word."""
-    letters = F.transform(words(text), lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
-    later = F.slice(letters, F.lit(2), F.greatest(F.size(letters), F.lit(1)))
-    kept = F.filter(later, lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.lower(w).isin(stop or [""]))
+    capital = bound(words(text), lambda ws: F.filter(ws, lambda w, i: (i > 0) & (F.upper(w) != w) & (F.lower(w) != w)))
+    letters = F.transform(capital, lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
+    kept = F.filter(letters, lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.lower(w).isin(stop or [""]))
     guessed = F.slice(F.array_distinct(F.transform(kept, lambda w: F.upper(F.substring(w, 1, 3)))), 1, most)
     if not known:
         return guessed
     low = F.lower(F.coalesce(text, F.lit("")))
     found = F.array_distinct(F.array_compact(F.array(*[F.when(low.contains(n.lower()), F.lit(c)) for n, c in known.items()])))
-    return F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(guessed)
+    return bound(found, lambda codes: F.when(F.size(codes) > 0, F.slice(codes, 1, most)).otherwise(guessed))
 
 
 def key_sentence(text: Column, decision_words: list[str], most: int = 55) -> Column:
@@ -38,37 +42,54 @@ def key_sentence(text: Column, decision_words: list[str], most: int = 55) -> Col
 
     ranked = F.transform(sentences(text), lambda s, i: F.struct((-score(s)).alias("a"), i.alias("i"), s.alias("s")))
     best = F.coalesce(F.array_min(ranked)["s"], F.lit(""))
-    return F.when(F.length(best) > most, F.concat(F.substring(best, 1, most - 3), F.lit("..."))).otherwise(best)
+    return bound(best, lambda b: F.when(F.length(b) > most, F.concat(F.substring(b, 1, most - 3), F.lit("..."))).otherwise(b))
+
+
+def topic_words(text: Column, stop: list[str], most: int = 3) -> Column:
+    """The most frequent words of three letters or more, the first on a tie; capitals, inner capitals, _ and - weigh two more each time."""
+    left_out = frozenset(stop)
+
+    @F.pandas_udf("array<string>")
+    def count(texts: pd.Series) -> pd.Series:
+        word, inner = re.compile(r"[a-zA-Z][a-zA-Z_-]{2,}"), re.compile(r".+[A-Z]|[_-]")
+
+        def of(t: str | None) -> list[str]:
+            sums: dict[str, int] = {}
+            for w, n in Counter(word.findall(t or "")).items():
+                low = w.lower()
+                if low not in left_out:
+                    sums[low] = sums.get(low, 0) + n * (1 if w == low and "_" not in w and "-" not in w else 1 + 2 * ("A" <= w[0] <= "Z") + 2 * (inner.search(w) is not None))
+            return sorted(sums, key=lambda w: -sums[w])[:most]
+
+        return texts.map(of)
+
+    return count(text)
 
 
 def topics(docs: DataFrame, stop: list[str], most: int = 3, key: str = "id", text: str = "document") -> DataFrame:
-    """key, topics: the most frequent words of three letters or more; capitals, inner capitals, _ and - weigh two more each time."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[a-zA-Z][a-zA-Z_-]{2,}"), 0)
-    each = docs.select(key, F.posexplode(found).alias("at", "w")).withColumn("word", F.lower("w")).filter(~F.col("word").isin(stop or [""]))
-    weight = 1 + F.when(F.col("w").rlike("^[A-Z]"), 2).otherwise(0) + F.when(F.col("w").rlike("^.+[A-Z]|[_-]"), 2).otherwise(0)
-    counts = each.groupBy(key, "word").agg(F.sum(weight).alias("n"), F.min("at").alias("at"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "at"))
-    top = counts.withColumn("r", rank).filter(F.col("r") <= most)
-    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("topics"))
-
-
-def digest(docs: DataFrame, stop: list[str], moods: list[tuple[str, str]], flags: list[tuple[str, str]], decision_words: list[str], known: dict[str, str] | None = None) -> DataFrame:
-    """id, digest of docs(id, document, domain, topic, date): a head line and '0:names|topics|"sentence"|moods|flags'."""
+    """key, topics: topic_words() of the texts that have any."""
+    return docs.select(key, topic_words(F.col(text), stop, most).alias("topics")).filter(F.size("topics") > 0)
+
+
+def digest(docs: DataFrame, stop: list[str], moods: list[tuple[str, str]], flags: list[tuple[str, str]], decision_words: list[str], known: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, digest and the columns to keep of docs(id, document, domain, topic, date): a head line and '0:names|topics|"sentence"|moods|flags'.
+
+    All is read off the row itself, so nothing is shuffled.
+    """
     text = F.col("document")
-    some = lambda c, sep, other: F.when(F.size(c) > 0, F.array_join(c, sep)).otherwise(other)
-    quote = key_sentence(text, decision_words)
-    rows = docs.join(topics(docs, stop), "id", "left")
+    some = lambda c, sep, other: bound(c, lambda x: F.when(F.size(x) > 0, F.array_join(x, sep)).otherwise(other))
+    rows = docs.withColumn("topics", topic_words(text, stop))
     or_mark = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("?"))
     head = F.concat_ws("|", or_mark("domain"), or_mark("topic"), or_mark("date"), F.lit("?"))
     body = F.concat_ws(
         "|",
         F.concat(F.lit("0:"), some(names(text, stop, 3, known), "+", F.lit("???"))),
         some(F.col("topics"), "_", F.lit("misc")),
-        F.when(quote != "", F.concat(F.lit('"'), quote, F.lit('"'))),
+        bound(key_sentence(text, decision_words), lambda quote: F.when(quote != "", F.concat(F.lit('"'), quote, F.lit('"')))),
         some(signals(text, moods), "+", F.lit(None)),
         some(signals(text, flags), "+", F.lit(None)),
     )
-    return rows.select("id", F.concat_ws("\n", head, body).alias("digest"))
+    return rows.select("id", F.concat_ws("\n", head, body).alias("digest"), *keep)
 
 
 def sizes(rows: DataFrame, text: str = "document", short: str = "digest") -> DataFrame:

@@ -259,3 +259,12 @@ def test_spelling_moves_found_words_alone(spark):
     out = spelling.corrected(texts, fixes, words)
     assert dict(out.collect()) == {1: "then  they went,\nthey!  Thay", 2: "", 3: " as it is ", 4: "thay2 thay-x they'"}
     assert "posexplode" not in plan_of(out)
+
+
+def test_digests_move_no_rows(spark):
+    docs = spark.createDataFrame([(1, "Today The Glass broke. glass GLASS my-own it", "en", "shop", None), (2, "", "en", "x", None), (3, None, "en", "x", None)], "id long, document string, domain string, topic string, date string")
+    got = digest.digest(docs, ["it"], [], [], ["broke"], None, ("document",))
+    assert "Exchange" not in plan_of(got)
+    lines = {r["id"]: r["digest"].split("\n")[1] for r in got.collect()}
+    assert lines == {1: '0:THE+GLA|glass_today_the|"Today The Glass broke"', 2: "0:???|misc", 3: "0:???|misc"}
+    assert {r["id"]: r["topics"] for r in digest.topics(docs, ["it"]).collect()} == {1: ["glass", "today", "the"]}
